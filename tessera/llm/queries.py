@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_counts
+from . import decontaminate, piece_dropout, quality, token_counts
 from .common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -20,6 +20,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_dropout.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits the load of all documents, repeats that commit (which must change nothing) and returns the totals."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
@@ -30,9 +34,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
+    "op6_piece_dropout": op6_piece_dropout,
     "op7_token_counts": op7_token_counts,
+    "op9_quality_gam": op9_quality_gam,
 }
 
 ORACLE_SQL: dict[str, str] = {}

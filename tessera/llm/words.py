@@ -90,9 +90,13 @@ def spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True) -> np.ndarray:
-    """64-bit hash of each span (spans in order of start), A-Z as a-z if ``fold_case``."""
-    values = _byte_values() if fold_case else _exact_byte_values()
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True, values: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each span (spans in order of start), A-Z as a-z if ``fold_case``.
+
+    ``values`` gives the hash of each symbol where symbols aren't bytes.
+    """
+    if values is None:
+        values = _byte_values() if fold_case else _exact_byte_values()
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
