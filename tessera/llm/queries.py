@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, piece_dropout, quality, token_counts
+from . import decontaminate, piece_dropout, quality, suffix_dedup, token_counts
 from .common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -38,11 +38,16 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_piece_dropout": op6_piece_dropout,
     "op7_token_counts": op7_token_counts,
     "op9_quality_gam": op9_quality_gam,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
