@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, piece_dropout, quality, suffix_dedup, token_counts, toxicity
+from . import decontaminate, embedding_dedup, ngram_join, piece_dropout, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -42,6 +42,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_piece_dropout": op6_piece_dropout,
     "op7_token_counts": op7_token_counts,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality_gam": op9_quality_gam,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
