@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared checkpoint folder and reads it from there.
@@ -67,3 +70,57 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int) -> Itera
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+#: What a null id is for working steps: the largest.
+NO_ID = 2**63 - 1
+
+
+class Tagged(NamedTuple):
+    rows: DataFrame
+    count: int
+    bytes: int
+    repeats: bool
+
+
+def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagged:
+    """(id, tag, text) with the number of rows, their bytes of text and whether some id repeats.
+
+    A null id becomes NO_ID and a null text empty. ``tag`` tells rows of one id apart by their
+    text; it is 0 throughout unless some id repeats.
+    """
+    rows = texts(docs, id_col, text_col).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    n, distinct, size = rows.agg(F.count("*"), F.countDistinct("id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    tag = F.lit(0).cast("bigint") if n == distinct else F.xxhash64("text")
+    return Tagged(rows.select("id", tag.alias("tag"), "text"), n, size, n != distinct)
+
+
+#: log2 of the bits of a key filter (1 MB); a full one only lets more pass.
+FILTER = 23
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit table of a fixed size of the keys; whatever passes it is still joined exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER, bool)
+        for batch in batches:
+            bits[_bit(batch.column(0).fill_null(-1).to_numpy())] = True
+        if bits.any():
+            words = np.packbits(bits, bitorder="little").view(np.int64)
+            at = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], ["at", "bits"])
+
+    rows = keys.select(column).mapInArrow(run, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER) // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return (W.mix(keys.astype(np.int64).view(W.U)) & W.U((1 << FILTER) - 1)).astype(np.int64)
+
+
+def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = _bit(keys)
+    return (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1

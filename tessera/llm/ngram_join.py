@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import buffers, checkpoint, partitions, slices, texts
+from .common import buffers, checkpoint, key_filter, partitions, passes, slices, texts
 from .components import connected
 
 SHINGLE, PERCENT = 4, 85
@@ -44,8 +44,6 @@ SLICE_BYTES = 4 << 20
 SKETCH = 18
 #: List entries of an average bucket, and sets of a cell.
 BUCKET_ENTRIES, CELL = 500_000, 2048
-#: log2 of the bits of the filter of documents whose sets are read again (1 MB); a full filter only lets more pass.
-FILTER = 23
 _LOW = W.U((1 << 58) - 1)
 
 
@@ -278,8 +276,7 @@ def _again(k: int, wanted: np.ndarray | None, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             if wanted is not None:
-                bit = W.mix(batch.column("id").fill_null(-1).to_numpy().view(W.U)) & W.U((1 << FILTER) - 1)
-                batch = batch.filter(pa.array((wanted[(bit >> W.U(3)).astype(np.int64)] >> (bit & W.U(7)).astype(np.uint8)) & 1 == 1))
+                batch = batch.filter(pa.array(passes(wanted, batch.column("id").fill_null(-1).to_numpy())))
                 if not batch.num_rows:
                     continue
             text, gram = sets(*buffers(batch.column("text")), k)
@@ -399,24 +396,6 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_similar(percent), "a bigint, b bigint"))
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit table of a fixed size of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER, bool)
-        for batch in batches:
-            bits[(W.mix(batch.column("id").fill_null(-1).to_numpy().view(W.U)) & W.U((1 << FILTER) - 1)).astype(np.int64)] = True
-        if bits.any():
-            words = np.packbits(bits, bitorder="little").view(np.int64)
-            at = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], ["at", "bits"])
-
-    rows = ids.mapInArrow(run, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros((1 << FILTER) // 64, np.int64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(id, n, h) of every row, h naming its set, and the links (a, b) between classes that suffice for the components."""
     rows = texts(docs, id_col, text_col)
@@ -436,7 +415,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     met = cells.select("h").distinct()
     first = each.where("n > 0").groupBy("h").agg(F.min("id").alias("id"))
     wanted = checkpoint(met.join(first, "h"))
-    passing = _filter(wanted)
+    passing = key_filter(wanted, "id")
     sketches = checkpoint(rows.mapInArrow(_again(k, passing, False), "h bigint, data binary").join(met, "h", "left_semi").groupBy("h").agg(F.min("data").alias("data")))
 
     def candidates(crossing: bool, component: DataFrame | None) -> DataFrame:
@@ -450,7 +429,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     proposed = candidates(False, None)
     ends = proposed.select(F.col("a").alias("h")).unionByName(proposed.select(F.col("b").alias("h"))).distinct()
-    passing = _filter(wanted.join(ends, "h", "left_semi").select("id"))
+    passing = key_filter(wanted.join(ends, "h", "left_semi"), "id")
 
     def members(bits: np.ndarray, who: DataFrame) -> DataFrame:
         return checkpoint(rows.mapInArrow(_again(k, bits, True), "h bigint, data binary").join(who, "h", "left_semi").groupBy("h").agg(F.min("data").alias("data")))
@@ -460,7 +439,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     more = checkpoint(more)
     if not more.isEmpty():
         ends = more.select(F.col("a").alias("h")).unionByName(more.select(F.col("b").alias("h"))).distinct()
-        links = links.unionByName(_verified(more, members(_filter(wanted.join(ends, "h", "left_semi").select("id")), ends), percent))
+        links = links.unionByName(_verified(more, members(key_filter(wanted.join(ends, "h", "left_semi"), "id"), ends), percent))
     return each, links
 
 

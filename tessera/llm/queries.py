@@ -9,13 +9,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, ngram_join, piece_dropout, quality, suffix_dedup, token_counts, toxicity
+from . import decontaminate, embedding_dedup, line_templates, ngram_join, piece_dropout, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_templates": op1_line_templates,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_decontamination": op5_decontamination,

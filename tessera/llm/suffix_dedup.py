@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import buffers, partitions, slices, texts
+from .common import NO_ID, buffers, partitions, slices, tagged
 
 WINDOW = 100
 TOKEN = 8
@@ -46,7 +46,6 @@ SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 5 << 19
 #: Documents sampled for the splitters, and tokens of each.
 SAMPLE_DOCS, SAMPLE_TOKENS = 4000, 32
-_LAST = 2**63 - 1
 _BLOBS = "bucket int, blob binary"
 _SPANS = "id bigint, tag bigint, s int, e int"
 _PARTS = np.array([0, 31, 62, _TOKENS])
@@ -266,14 +265,6 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(token[order[rank < SAMPLE_TOKENS]].view(np.int64))], ["token"])
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
-    """(id, tag, text), the number of documents and their bytes; ``tag`` tells rows of one id apart."""
-    rows = texts(docs, id_col, text_col).select(F.coalesce("id", F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    n, distinct, size = rows.agg(F.count("*"), F.countDistinct("id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    tag = F.lit(0).cast("bigint") if n == distinct else F.xxhash64("text")
-    return rows.select("id", tag.alias("tag"), "text"), n, size
-
-
 def _spans(rows: DataFrame, n: int, size: int) -> DataFrame:
     spark = rows.sparkSession
     n_buckets = max(1, -(-size // BUCKET_BYTES))
@@ -306,7 +297,7 @@ def _removed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    rows, n, size = _rows(docs, id_col, text_col)
+    rows, n, size, _ = tagged(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -320,12 +311,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(spans[offsets])), pa.array(sha)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     got = _gather(rows, _spans(rows, n, size)).mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return got.withColumn("id", F.nullif("id", F.lit(_LAST))).withColumnRenamed("id", "doc_id")
+    return got.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", "doc_id")
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept binary) of every row: the bytes that stay, which may cut a character."""
-    rows, n, size = _rows(docs, id_col, text_col)
+    rows, n, size, _ = tagged(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -334,4 +325,4 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(left, pa.binary())], ["id", "kept"])
 
     got = _gather(rows, _spans(rows, n, size)).mapInArrow(run, "id bigint, kept binary")
-    return got.withColumn("id", F.nullif("id", F.lit(_LAST))).withColumnRenamed("id", "doc_id")
+    return got.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", "doc_id")
