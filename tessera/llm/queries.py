@@ -8,8 +8,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_templates, ngram_join, piece_dropout, quality, suffix_dedup, token_counts, toxicity
+from . import decontaminate, embedding_dedup, line_templates, ngram_join, piece_dropout, quality, secrets, suffix_dedup, token_counts, toxicity
 from .common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -20,6 +21,12 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents name no repository or owner: a source is the owner, its part in one language a repository."""
+    owner = F.col("source")
+    return secrets.report(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", owner, F.col("lang")), owner=owner)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_templates": op1_line_templates,
+    "op2_secret_ownership": op2_secret_ownership,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_decontamination": op5_decontamination,
@@ -70,4 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_ownership": secrets.oracle("concat_ws('/', source, lang)", "source"),
+}
