@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,16 +16,25 @@ from pyspark.sql import functions as F
 from . import words as W
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared checkpoint folder and reads it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where
-    neither the setting nor the context has one (tests on one machine) a local folder is set.
+    Only where neither the setting nor the context has one (tests on one machine) a local folder is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        set_by_session = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(set_by_session or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it from there; no lineage is left."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -174,13 +174,14 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
     names = drop.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("numbers").alias("__numbers")).hint("shuffle_hash")
     joined = docs.join(names, (F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)) == F.col("__id")) & (tag == F.col("__tag")), "left").drop("__id", "__tag")
 
+    columns = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = docs.columns
         for batch in slices(batches, text_col, SLICE_BYTES):
             work = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col), batch.column("__numbers")], ["id", "tag", "text", "numbers"])
             for out in _apply(iter([work])):
                 text = out.column("text")
                 keep = (out.column("n_dropped").to_numpy() == 0) | (np.diff(buffers(text)[1]) > 0)
-                yield pa.RecordBatch.from_arrays([text if c == text_col else batch.column(c) for c in names], names).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([text if c == text_col else batch.column(c) for c in columns], columns).filter(pa.array(keep))
 
     return joined.mapInArrow(run, docs.schema)

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, line_templates, ngram_join, piece_dropout, quality, secrets, suffix_dedup, token_counts, toxicity
-from .common import table
+from .common import scratch, table
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
@@ -45,8 +43,7 @@ def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits the load of all documents, repeats that commit (which must change nothing) and returns the totals."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    rollup = token_counts.Rollup(spark, f"{shared}/token-rollups/{uuid.uuid4().hex}")
+    rollup = token_counts.Rollup(spark, scratch(spark, "token-rollup"))
     load = token_counts.count(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k")
     rollup.commit("load", load)
     rollup.commit("load", load)
