@@ -1,10 +1,68 @@
-"""A corpus cleaning pipeline of five of the training-data operators."""
+"""A corpus cleaning pipeline over the documents, of five of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns the
+columns of the documents, but the last, which returns the token ids. ``run`` writes what each
+stage keeps to the shared checkpoint folder and reads it again, so that a lost executor costs at
+most the stage at hand.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, line_templates, ngram_join, piece_dropout, quality
+from tessera.llm.common import scratch, table
+from tessera.llm.queries import TOKENIZERS
+
+#: Near duplicates here: shingles of five words, similarity of 0.8 or more.
+SHINGLE, PERCENT = 5, 80
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go, but for the first; documents that lose all their lines go with them."""
+    cleaned = line_templates.cleaned(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return ngram_join.distinct(docs, k=SHINGLE, percent=PERCENT)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids by seeded merge-dropout, and whether they decode to the text again."""
+    return piece_dropout.encoded(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece_encoding),
+]
+
+#: SQL can express neither the classifier nor the encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = scratch(spark, f"pipeline-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
