@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import NO_ID, Tagged, buffers, checkpoint, key_filter, passes, slices, tagged
+from .common import NO_ID, Tagged, buffers, checkpoint, fresh, key_filter, passes, slices, tagged
 
 DEPTH = 4
 SIMILARITY = 0.7
@@ -171,14 +171,14 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
     """The documents, with all their columns, without the dropped lines; those that lose all their lines go."""
     own, drop = recurring(docs, id_col, text_col, depth, similarity, min_docs)
     tag = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) if own.repeats else F.lit(0).cast("bigint")
-    names = drop.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("numbers").alias("__numbers")).hint("shuffle_hash")
-    joined = docs.join(names, (F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)) == F.col("__id")) & (tag == F.col("__tag")), "left").drop("__id", "__tag")
-
+    id_name, tag_name, numbers = fresh("id"), fresh("tag"), fresh("numbers")
+    names = drop.select(F.col("id").alias(id_name), F.col("tag").alias(tag_name), F.col("numbers").alias(numbers)).hint("shuffle_hash")
+    joined = docs.join(names, (F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)) == F.col(id_name)) & (tag == F.col(tag_name)), "left").drop(id_name, tag_name)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, SLICE_BYTES):
-            work = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col), batch.column("__numbers")], ["id", "tag", "text", "numbers"])
+            work = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col), batch.column(numbers)], ["id", "tag", "text", "numbers"])
             for out in _apply(iter([work])):
                 text = out.column("text")
                 keep = (out.column("n_dropped").to_numpy() == 0) | (np.diff(buffers(text)[1]) > 0)
