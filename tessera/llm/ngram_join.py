@@ -13,10 +13,12 @@ of ``percent`` or more then share shingles within their rarest few (the prefix).
   scanned, from the sizes of all sets and the sketch's expected list length.
 
 Lists are cut into cells of a bounded number of sets by size, and only cells of compatible sizes
-are compared, so that no list ends in one task. A pair of a cell is compared by size, by place in
-the prefix and by a parity sketch (one bit an element or more): the number of bits that differ
-never exceeds the symmetric difference, so nothing similar is lost. Pairs that pass are compared
-exactly on their sets. First each set only proposes its first such partner of a cell; once these
+are compared, so that no list ends in one task. Cells of the same sets are one. A pair of a cell
+is compared by size and by a parity sketch (one bit an element or more): the number of bits that
+differ never exceeds the symmetric difference, so nothing similar is lost. Each set carries the
+first few of its cells in a common order; a pair that two sets' lists show to meet in an earlier
+cell is left to it. Pairs that pass are compared exactly
+on their sets. First each set only proposes its first such partner of a cell; once these
 links are checked, all pairs of a cell whose components still differ are checked, and no others.
 
 Defined results: null or wordless texts have no set and link with nothing; repeated rows link with
@@ -30,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import buffers, checkpoint, key_filter, partitions, passes, slices, texts
+from .common import buffers, checkpoint, fresh, key_filter, partitions, passes, slices, texts
 from .components import connected
 
 SHINGLE, PERCENT = 4, 85
@@ -44,6 +47,8 @@ SLICE_BYTES = 4 << 20
 SKETCH = 18
 #: List entries of an average bucket, and sets of a cell.
 BUCKET_ENTRIES, CELL = 500_000, 2048
+#: Cells of each set by which a pair is told to have met before.
+FIRST = 8
 _LOW = W.U((1 << 58) - 1)
 
 
@@ -200,7 +205,16 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _cells(percent: int):
-    """Reduce side: the entries of keys that two or more sets of compatible sizes share, dealt to cells."""
+    """Reduce side: the sets that share a key, dealt to cells where two or more have compatible sizes and places.
+
+    A cell is named by the sets in it, so that keys that the same sets share are one cell; it
+    carries the least of these keys.
+    """
+
+    def compatible(key, n):
+        near = np.zeros(len(key) + 1, bool)
+        near[1:-1] = (key[1:] == key[:-1]) & (percent * n[1:] <= 100 * n[:-1])
+        return near[1:] | near[:-1]
 
     def cells(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         key, h, n, place = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
@@ -208,38 +222,48 @@ def _cells(percent: int):
         key, h, n, place = key[order], h[order], n[order].astype(np.int64), place[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-        key, h, n, place = key[first], h[first], n[first], place[first]
-        near = np.zeros(len(key) + 1, bool)
-        near[1:-1] = (key[1:] == key[:-1]) & (percent * n[1:] <= 100 * n[:-1])
-        alive = near[1:] | near[:-1]
+        alive = np.flatnonzero(first)
+        alive = alive[compatible(key[alive], n[alive])]
+        key, h, n, place = key[alive], h[alive], n[alive], place[alive]
+        if not len(key):
+            return
+        # where a pair first meets, no shingle before the place is shared: (100 - percent)(|A| + |B|) >= (100 + percent)(i + j)
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        lowest = np.repeat(np.minimum.reduceat(place, edge), np.diff(np.append(edge, len(key))))
+        alive = (100 - percent) * (n + 100 * n // percent + 1) >= (100 + percent) * (place + lowest)
+        key, h, n, place = key[alive], h[alive], n[alive], place[alive]
+        alive = compatible(key, n)
         key, h, n, place = key[alive], h[alive], n[alive], place[alive]
         if not len(key):
             return
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        index = np.arange(len(key)) - np.repeat(edge[:-1], np.diff(edge))
-        chunk = index // CELL
-        # every chunk with itself, and with later chunks whose smallest set is small enough
-        rows = [np.arange(len(key))]
-        cell = [W.mix(key ^ W.mix(chunk.astype(W.U) * W.U(0x100000001)))]
-        side = [np.full(len(key), 2, np.int8)]
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b - a <= CELL:
-                continue
+        size = np.diff(edge)
+        # subsets of two aren't in the shingles' order; as the least key they take part in no comparison of keys
+        key = np.where(place < 0, W.U(0), key) ^ W.U(1 << 63)
+        part = W.mix(h)
+        whole = np.flatnonzero(size <= CELL)
+        name = W.mix(np.add.reduceat(part, edge[:-1])[whole])
+        # keys are in order, so that of keys with the same sets the least stays
+        _, own = np.unique(name, return_index=True)
+        rows = W.ragged(edge[:-1][whole[own]], size[whole[own]])
+        out = [(rows, np.repeat(name[own], size[whole[own]]), np.full(len(rows), 2, np.int8))]
+        for g in np.flatnonzero(size > CELL):
+            a, b = edge[g], edge[g + 1]
+            # every chunk with itself, and with later chunks whose smallest set is small enough
             for r in range(a, b, CELL):
-                top = n[min(r + CELL, b) - 1]
+                x = np.arange(r, min(r + CELL, b))
+                mine = part[x].sum()
+                out.append((x, np.repeat(W.mix(mine[None]), len(x)), np.full(len(x), 2, np.int8)))
                 for c in range(r + CELL, b, CELL):
-                    if percent * n[c] > 100 * top:
+                    if percent * n[c] > 100 * n[x[-1]]:
                         break
-                    name = W.mix(key[a : a + 1] ^ W.mix(np.array([((r - a) // CELL) << 32 | ((c - a) // CELL)], W.U) + W.U(9)))
-                    for x, s in ((r, 0), (c, 1)):
-                        mine = np.arange(x, min(x + CELL, b))
-                        rows.append(mine)
-                        cell.append(np.repeat(name, len(mine)))
-                        side.append(np.full(len(mine), s, np.int8))
-        rows, cell, side = np.concatenate(rows), np.concatenate(cell), np.concatenate(side)
+                    y = np.arange(c, min(c + CELL, b))
+                    both = W.mix(W.mix(mine[None]) ^ W.mix(part[y].sum()[None] + W.U(9)))
+                    out += [(x, np.repeat(both, len(x)), np.zeros(len(x), np.int8)), (y, np.repeat(both, len(y)), np.ones(len(y), np.int8))]
+        rows, cell, side = (np.concatenate(x) for x in zip(*out, strict=True))
         for x in range(0, len(rows), 100_000):
             at = rows[x : x + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(cell[x : x + 100_000].view(np.int64)), pa.array(side[x : x + 100_000]), pa.array(h[at].view(np.int64)), pa.array(n[at].astype(np.int32)), pa.array(place[at])], ["cell", "side", "h", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[x : x + 100_000].view(np.int64)), pa.array(side[x : x + 100_000]), pa.array(h[at].view(np.int64)), pa.array(n[at].astype(np.int32)), pa.array(key[at].view(np.int64))], ["cell", "side", "h", "n", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -270,21 +294,23 @@ def _parities(text: np.ndarray, gram: np.ndarray, size: np.ndarray) -> list[byte
     return [packed[a:b].tobytes() for a, b in zip(base // 8, (base + bits) // 8, strict=True)]
 
 
-def _again(k: int, wanted: np.ndarray | None, whole: bool):
-    """(class, set or parity sketch) of documents that the filter lets pass, one of each class and slice."""
+def _again(k: int, wanted: np.ndarray, whole: bool):
+    """(class, data) of documents that the filter lets pass, one of each class and slice.
+
+    Data: the whole set or its parity sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            if wanted is not None:
-                batch = batch.filter(pa.array(passes(wanted, batch.column("id").fill_null(-1).to_numpy())))
-                if not batch.num_rows:
-                    continue
+            batch = batch.filter(pa.array(passes(wanted, batch.column("id").fill_null(-1).to_numpy())))
+            if not batch.num_rows:
+                continue
             text, gram = sets(*buffers(batch.column("text")), k)
             size, h = _class_ids(text, gram, batch.num_rows)
             _, first = np.unique(h, return_index=True)
             first = first[size[first] > 0]
+            ends = np.cumsum(size)
             if whole:
-                ends = np.cumsum(size)
                 out = [gram[ends[i] - size[i] : ends[i]].tobytes() for i in first]
             else:
                 every = _parities(text, gram, size)
@@ -304,47 +330,46 @@ def _fold(rows: np.ndarray, words: int) -> np.ndarray:
 def _compare(percent: int, crossing: bool):
     """Pairs of a cell that may be similar: each set's first partner, or (crossing) all between components."""
 
-    def pairs(h, n, place, side, comp, data) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(h, n, side, comp, own, met, data) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((h, n))
-        h, n, place, side, comp = (x[order] for x in (h, n, place, side, comp))
+        h, n, side, comp, met = (x[order] for x in (h, n, side, comp, met))
         sketch = [data[i] for i in order]
+        # earlier cells in which a set is compared with all others
+        earlier = (met[:, :, 0] < own[0]) | ((met[:, :, 0] == own[0]) & (met[:, :, 1] < own[1]))
         words = np.array([len(x) // 8 for x in sketch])
         levels = {}
         for w in np.unique(words):
-            # every set's sketch folded to w words, where it has so many
-            have = np.flatnonzero(words >= w)
-            have = have[words[have] <= 4 * w]
+            # every larger set's sketch folded to w words
+            have = np.flatnonzero((words >= w) & (words <= 4 * w))
             table = np.zeros((len(h), w), W.U)
             for v in np.unique(words[have]):
                 mine = have[words[have] == v]
                 table[mine] = _fold(np.frombuffer(b"".join(sketch[i] for i in mine), W.U).reshape(len(mine), v), w)
             levels[w] = table
+        to = np.searchsorted(n, 100 * n // percent, "right")
         left, right = [], []
         taken = np.zeros(len(h), bool)
         for a in range(len(h)):
-            b = np.searchsorted(n, 100 * n[a] // percent, "right")
-            at = np.arange(a + 1, b)
-            if not len(at):
+            if to[a] <= a + 1:
                 continue
+            at = np.arange(a + 1, to[a])
             if side[a] != 2:
                 at = at[side[at] != side[a]]
-            if crossing:
-                at = at[comp[at] != comp[a]]
-            else:
-                at = at[~taken[at]]
-            need = percent * (n[a] + n[at])
-            if place[a] >= 0:
-                reach = np.minimum(place[a], place[at]) + 1 + np.minimum(n[a] - place[a], n[at] - place[at]) - 1
-                at = at[(place[at] < 0) | (reach * (100 + percent) >= need)]
+            at = at[comp[at] != comp[a]] if crossing else at[~taken[at]]
             if not len(at):
                 continue
             apart = np.bitwise_count(levels[words[a]][at] ^ levels[words[a]][a]).sum(1, dtype=np.int64)
             # |A| + |B| - 2 |A & B| >= apart, and |A & B| * (100 + percent) >= percent * (|A| + |B|)
             both = n[a] + n[at]
             at = at[(both - apart) * (100 + percent) >= 2 * percent * both]
-            left.append(np.full(len(at), h[a]))
-            right.append(h[at])
-            taken[at] = True
+            # a pair that is in an earlier cell too is left to it
+            before = met[a, earlier[a], 1]
+            if len(at) and len(before):
+                at = at[~(met[at][:, :, 1, None] == before).any((1, 2))]
+            if len(at):
+                left.append(np.full(len(at), h[a]))
+                right.append(h[at])
+                taken[at] = True
         if not left:
             none = np.zeros(0, np.int64)
             return none, none
@@ -356,7 +381,12 @@ def _compare(percent: int, crossing: bool):
             column = lambda c: table[c].to_numpy()
             comp = column("comp")
             if len(comp) > 1 and not (crossing and (comp == comp[0]).all()):
-                a, b = pairs(column("h"), column("n").astype(np.int64), column("place").astype(np.int64), column("side"), comp, table["data"].to_pylist())
+                lists = table["met"].combine_chunks()
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                met = np.full((len(comp), 2 * FIRST), 2**63 - 1)
+                met[np.repeat(np.arange(len(comp)), size), W.ragged(np.zeros(len(comp), np.int64), size)] = lists.flatten().to_numpy(zero_copy_only=False)
+                own = int(column("key").min()), int(column("cell")[0])
+                a, b = pairs(column("h"), column("n").astype(np.int64), column("side"), comp, own, met.reshape(-1, FIRST, 2), table["data"].to_pylist())
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -407,16 +437,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     heavy_from = boundary(small, load, percent)
     entries = each.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0))).first()[0]
     n_buckets = max(partitions(spark), int(entries // BUCKET_ENTRIES) + 1)
-    blobs = rows.mapInArrow(_lists(k, percent, _ranks(load), heavy_from, n_buckets), "bucket int, blob binary")
+    rank = _ranks(load)
+    blobs = rows.mapInArrow(_lists(k, percent, rank, heavy_from, n_buckets), "bucket int, blob binary")
     dealt = blobs.repartition(max(partitions(spark), n_buckets // 4), "bucket").sortWithinPartitions("bucket")
-    cells = checkpoint(dealt.mapInArrow(_cells(percent), "cell bigint, side tinyint, h bigint, n int, place int"))
+    cells = dealt.mapInArrow(_cells(percent), "cell bigint, side tinyint, h bigint, n int, key bigint")
+    cells = checkpoint(cells.groupBy("cell", "side", "h").agg(F.min("n").alias("n"), F.min("key").alias("key")))
 
     # classes that some cell holds, each by the document of least id
     met = cells.select("h").distinct()
     first = each.where("n > 0").groupBy("h").agg(F.min("id").alias("id"))
     wanted = checkpoint(met.join(first, "h"))
     passing = key_filter(wanted, "id")
-    sketches = checkpoint(rows.mapInArrow(_again(k, passing, False), "h bigint, data binary").join(met, "h", "left_semi").groupBy("h").agg(F.min("data").alias("data")))
+    sketches = (rows.mapInArrow(_again(k, passing, False), "h bigint, data binary").join(met, "h", "left_semi").groupBy("h").agg(F.min("data").alias("data")))
+    early = cells.where("side = 2").groupBy("h").agg(F.slice(F.sort_array(F.collect_list(F.struct("key", "cell"))), 1, FIRST).alias("first"))
+    sketches = checkpoint(sketches.join(early.select("h", F.flatten(F.transform("first", lambda x: F.array(x["key"], x["cell"]))).alias("met")), "h", "left"))
 
     def candidates(crossing: bool, component: DataFrame | None) -> DataFrame:
         held = cells.join(sketches, "h")
@@ -424,7 +458,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             held = held.join(component.select(F.col("node").alias("h"), F.col("root").alias("comp")), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
         else:
             held = held.withColumn("comp", F.col("h"))
-        by_cell = held.select("cell", "side", "h", "n", "place", "comp", "data").repartition(max(partitions(spark), n_buckets // 4), "cell").sortWithinPartitions("cell")
+        by_cell = held.select("cell", "side", "h", "n", "key", "comp", "met", "data").repartition(max(partitions(spark), n_buckets // 4), "cell").sortWithinPartitions("cell")
         return checkpoint(by_cell.mapInArrow(_compare(percent, crossing), "a bigint, b bigint").distinct())
 
     proposed = candidates(False, None)
@@ -457,7 +491,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, that are the first by id of their group; rows that repeat an id stay as one."""
     found = clusters(docs, id_col, text_col, k, percent)
-    later = found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select(F.col("doc_id").alias("__later")).distinct()
-    kept = docs.join(later, docs[id_col].cast("bigint").eqNullSafe(F.col("__later")), "left_anti")
+    name = fresh("later")
+    later = found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(later, docs[id_col].cast("bigint").eqNullSafe(F.col(name)), "left_anti")
     n, ids, nulls = found.agg(F.count("*"), F.countDistinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     return kept if n == ids + min(nulls, 1) else kept.dropDuplicates([id_col])
