@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_templates, ngram_join, piece_dropout, quality, secrets, suffix_dedup, token_counts, toxicity
+from . import decontaminate, embedding_dedup, line_templates, ngram_join, oracles, piece_dropout, quality, secrets, suffix_dedup, token_counts, toxicity
 from .common import scratch, table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -76,5 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_templates": oracles.lines(),
     "op2_secret_ownership": secrets.oracle("concat_ws('/', source, lang)", "source"),
+    "op4_ngram_join": oracles.ngrams(),
+    "op8_embedding_dedup": oracles.embeddings(),
+    "op10_suffix_dedup": oracles.suffixes(),
 }
