@@ -38,8 +38,9 @@ from .common import checkpoint, partitions
 from .components import connected
 
 COSINE = 0.95
-#: Own points of a part, and points of an average cell.
-PART, CELL = 1024, 2048
+#: Own points of a part (4 MB at 64 numbers each), and points of an average cell. Every part of a cell gets
+#: all points that the cell holds, so that small ones multiply what is sent.
+PART, CELL = 8192, 8192
 MOST_PIVOTS = 1024
 _SLACK = 1e-9
 
@@ -174,8 +175,8 @@ def _join(size: int, cosine: float):
                 if part is None:
                     part = _Part(pa.Table.from_batches(own), size, cosine) if own else None
                 if part is not None:
-                    for x in range(a, b, 512):
-                        block = batch.slice(x, min(512, b - x))
+                    for x in range(a, b, 256):
+                        block = batch.slice(x, min(256, b - x))
                         part.meet(*(block.column(c).to_numpy() for c in ("key", "weight", "d")), _matrix(block.column("point"), size))
         if part is not None:
             yield from part.results()
