@@ -7,7 +7,10 @@ depends on the order of lines, so that the result is the same however the corpus
 in a leaf that holds several distinct lines, a place is constant if more than half of its lines
 (each counted once a document) have the same token there. Lines that agree with the constants in
 a share of ``SIMILARITY`` of their tokens or more are one template, whose other places are
-variable fields. Any other line is a template of its own, with its digit fields.
+variable fields. The vote is repeated on the lines that are left over; where it gives no template,
+they are split by their tokens at the place whose most frequent token has most votes (the first
+such place, of those where the lines differ). It ends where fewer than ``MIN_DOCS`` documents or
+a single line are left. Any other line is a template of its own, with its digit fields.
 
 A template that occurs in ``MIN_DOCS`` documents or more recurs: its lines are dropped, all but
 the first by document id and place. Lines without tokens stay.
@@ -24,6 +27,7 @@ text are one document that stands there several times, with equal results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +101,31 @@ def _tokens(depth: int, wanted: np.ndarray):
     return run
 
 
+def _general(told: DataFrame, similarity: float, min_docs: int) -> DataFrame:
+    """(leaf, line, part) of the lines that belong to a general template; ``part`` names it."""
+    rest = told.withColumn("part", F.col("leaf"))
+    found = []
+    while not found or not rest.isEmpty():
+        places = rest.select("part", "line", "docs", F.posexplode("tokens").alias("place", "token"))
+        votes = places.groupBy("part", "place", "token").agg(F.sum("docs").alias("docs"))
+        top = checkpoint(votes.groupBy("part", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all")))
+        constant = top.where("2 * top.docs > all and top.token is not null").select("part", "place", F.col("top.token").alias("token"))
+        agree = places.join(constant, ["part", "place", "token"], "left_semi").groupBy("part", "line").agg(F.count("*").alias("same"))
+        judged = rest.join(agree, ["part", "line"], "left").withColumn("general", F.coalesce(F.col("same") >= F.lit(similarity) * F.size("tokens"), F.lit(False))).drop("same")
+        judged = checkpoint(judged)
+        found.append(judged.where("general").select("leaf", "line", "part"))
+        # what a template left over is voted on again; a part without a template is split by the place whose first token has most votes
+        state = judged.groupBy("part").agg(F.max("general").alias("has"), F.sum(F.when(~F.col("general"), F.col("docs"))).alias("left"), F.count_if(~F.col("general")).alias("n"))
+        state = state.where((F.col("left") >= min_docs) & (F.col("n") > 1)).select("part", "has")
+        split = top.where("top.docs < all").groupBy("part").agg(F.max(F.struct("top.docs", -F.col("place"))).alias("best")).select("part", (-F.col("best.col2")).alias("place"))
+        state = state.join(split, "part", "left").where("has or place is not null")
+        child = F.when(F.col("has"), F.xxhash64("part", F.lit(len(found)))).otherwise(F.xxhash64("part", "place", F.coalesce(F.get("tokens", F.col("place")), F.lit(0).cast("bigint"))))
+        rest = judged.where(~F.col("general")).drop("general").join(state, "part").withColumn("part", child).drop("has", "place")
+        large = rest.groupBy("part").agg(F.sum("docs").alias("left"), F.count("*").alias("n")).where((F.col("left") >= min_docs) & (F.col("n") > 1)).select("part")
+        rest = checkpoint(rest.join(large, "part", "left_semi"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> tuple[Tagged, DataFrame]:
     """The documents with their tags, and (id, tag, numbers) of the lines to drop."""
     own = tagged(docs, id_col, text_col)
@@ -110,15 +139,10 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     several = checkpoint(several)
     told = rows.mapInArrow(_tokens(depth, key_filter(several, "leaf")), "leaf bigint, line bigint, tokens array<bigint>")
     told = checkpoint(told.join(several, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens")).join(each, ["leaf", "line"]))
-    places = told.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
-    votes = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
-    constant = votes.groupBy("leaf", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all"))
-    constant = constant.where("2 * top.docs > all and top.token is not null").select("leaf", "place", F.col("top.token").alias("token"))
-    agree = places.join(constant, ["leaf", "place", "token"], "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("same"))
-    members = told.join(agree, ["leaf", "line"]).where(F.col("same") >= F.lit(similarity) * F.size("tokens")).select("leaf", "line", F.lit(True).alias("general"))
-
-    # a general template is named by its leaf, any other by its line
-    named = lines.join(members, ["leaf", "line"], "left").select("id", "tag", "number", F.coalesce("general", F.lit(False)).alias("general"), F.when(F.col("general"), F.col("leaf")).otherwise(F.col("line")).alias("template"))
+    members = _general(told, similarity, min_docs)
+
+    # a general template is named by its part of the leaf, any other by its line
+    named = lines.join(members, ["leaf", "line"], "left").select("id", "tag", "number", F.col("part").isNotNull().alias("general"), F.coalesce("part", "line").alias("template"))
     named = checkpoint(named)
     per_doc = named.groupBy("general", "template", "id", "tag").agg(F.min("number").alias("number"))
     found = per_doc.groupBy("general", "template").agg(F.count("*").alias("docs"), F.min(F.struct("id", "tag", "number")).alias("first")).where(F.col("docs") >= min_docs)

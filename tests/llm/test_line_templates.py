@@ -77,6 +77,19 @@ def test_against_dictionaries(spark, seed, min_docs):
     assert any(r[3] for r in got)
 
 
+@pytest.mark.parametrize("sizes", [(300, 200), (60, 60, 60, 60)])
+def test_several_templates_in_a_leaf(spark, sizes):
+    """One template after the other where one has the majority, and by a split where none has."""
+    letters = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    ends = ["finished without any errors", "crashed after missing heartbeat", "waited for some disk", "restarted by its owner"]
+    hot = [(10**6 + k, "the job on node master was never seen again") for k in range(700)]
+    for more in ([], hot):
+        rows = [(1000 * t + k, f"the job on node {letters(1000 * t + k)} {ends[t]}") for t, n in enumerate(sizes) for k in range(n)]
+        got = run(frame(spark, rows + more).repartition(5))
+        assert sum(r[3] for r in got) == sum(n - 1 for n in sizes) + max(0, len(more) - 1)
+        assert {r[0] for r in got if not r[3]} == {1000 * t for t in range(len(sizes))} | {i for i, _ in more[:1]}
+
+
 def test_odd_rows(odd, clashing, odd_rows):
     got = run(odd, min_docs=2)
     assert got == run(clashing, min_docs=2) and len(got) == len(odd_rows)
