@@ -1,15 +1,15 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and its exact decoding.
 
 Encoding keeps an agenda of candidate merges, best score first, then leftmost. A candidate that
-comes up is skipped if a keyed hash of the seed, the segment, its variant, the place and the
-piece falls below the dropout rate; it comes up again only if a neighbour changes. A rate of 0
-gives the segmentation of the SentencePiece library. All distinct segments of a slice run their
+comes up is skipped if a keyed hash of the seed, the document id, the segment and its place in the
+text, the place in the segment and the piece falls below the dropout rate; it comes up again only if a neighbour changes. A rate of 0
+gives the segmentation of the SentencePiece library. The segments of a slice run their
 agendas in lockstep, as rows of arrays.
 
 A text is cut into segments between characters that stand side by side in no piece, which no
-merge can join, so that segments are independent. Each occurrence of a segment takes one of
-``variants`` keys by a hash of the document id and its place: the same word is cut in varied ways
-while each distinct (segment, variant) is worked out once a slice.
+merge can join, so that segments are independent. Each occurrence of a segment draws its own
+skips. Each distinct segment is worked out without skips once a slice, with its merges noted; that
+is the result of every occurrence that skips none of them, and only the others run their agendas.
 
 Spaces become U+2581 after one is put in front of a text; characters without a piece, among them
 U+2581 itself, are written as byte pieces. So decoding gives back every text exactly.
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from . import words as W
 
 DROPOUT = 0.1
-VARIANTS = 8
 SEED = 20_240_601
 SLICE_BYTES = 4 << 20
 #: Longest segment that runs in lockstep; longer ones take a heap each.
 LOCKSTEP = 48
+#: Rows that run in lockstep at a time; bounds the working arrays.
+ROWS = 1 << 16
 _SPACE, _LITERAL = 0x2581, 0x110000  # U+2581, and the code that stands for it where the text itself has it
 _NONE = np.int32(2**31 - 1)
 
@@ -131,6 +132,11 @@ def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, limit: W.U)
 
 def _lockstep(p: Pieces, sym: np.ndarray, key: np.ndarray, limit: W.U) -> np.ndarray:
     """Runs the agendas of the rows of ``sym`` (padded with -2); returns symbols, -2 where one is merged away."""
+    return _agendas(p, sym, key, limit, [])
+
+
+def _agendas(p: Pieces, sym: np.ndarray, key: np.ndarray, limit: W.U, merges: list) -> np.ndarray:
+    """The agendas in lockstep; (row, place, piece) of the merges go to ``merges``."""
     n, width = sym.shape
     if width < 2 or not n:
         return sym
@@ -150,6 +156,7 @@ def _lockstep(p: Pieces, sym: np.ndarray, key: np.ndarray, limit: W.U) -> np.nda
         row, i, piece = rows[~drop], best[~drop], piece[~drop]
         if not len(row):
             continue
+        merges.append((row, i, piece))
         right = after[row, i]
         then = after[row, right]
         sym[row, i], sym[row, right] = piece, -2
@@ -222,7 +229,7 @@ def _ids(p: Pieces, sym: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.n
     return out, many
 
 
-def encode(p: Pieces, texts: list[str], keys: np.ndarray, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def encode(p: Pieces, texts: list[str], keys: np.ndarray, dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in one array, and the number of ids of each text."""
     sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     code = np.frombuffer("".join([f" {t}" for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -239,39 +246,70 @@ def encode(p: Pieces, texts: list[str], keys: np.ndarray, dropout: float = DROPO
     text = np.searchsorted(begin + sizes, start, "right")
     limit = W.U(min(int(dropout * 2.0**64), 2**64 - 1))
     own = W.hashes(code, start, end, values=p.symbol)
-    choice = W.mix(W.mix(keys[text] ^ W.U(seed)) + (start - begin[text]).astype(W.U)) % W.U(max(1, variants))
-    key = W.mix(own ^ W.mix(choice + W.U(seed)))
-    kinds, first, which = np.unique(key, return_index=True, return_inverse=True)
-    a, length = start[first], (end - start)[first]
-    parts, counts, owners = [], [], []
+    key = W.mix(own ^ W.mix(W.mix(keys[text] ^ W.U(seed)) + (start - begin[text]).astype(W.U)))
+    _, first, which = np.unique(own, return_index=True, return_inverse=True)
+    pool, size, merges = _cut_segments(p, code, start[first], (end - start)[first], own[first], W.U(0))
+    where = np.cumsum(size) - size
+    if limit:
+        again = np.flatnonzero(_any_skipped(which, key, len(first), (end - start)[first], merges, limit))
+        more, n, _ = _cut_segments(p, code, start[again], (end - start)[again], key[again], limit)
+        which[again] = len(first) + np.arange(len(again))
+        where = np.concatenate((where, len(pool) + np.cumsum(n) - n))
+        pool, size = np.concatenate((pool, more)), np.concatenate((size, n))
+    n = size[which]
+    return pool[W.ragged(where[which], n)], np.bincount(text, n, len(texts)).astype(np.int64)
+
+
+def _any_skipped(which: np.ndarray, key: np.ndarray, kinds: int, length: np.ndarray, merges: list, limit: W.U) -> np.ndarray:
+    """Whether an occurrence skips a merge of its segment's result without skips; long segments count as such."""
+    kind, place, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*merges, strict=True)) or ((), (), ())))
+    order = np.argsort(kind, kind="stable")
+    place, piece = place[order], piece[order]
+    count = np.bincount(kind, minlength=kinds)
+    begin = np.cumsum(count) - count
+    out = (length > LOCKSTEP)[which]
+    for k in range(int(count.max(initial=0))):
+        at = np.flatnonzero((count[which] > k) & ~out)
+        m = begin[which[at]] + k
+        out[at] = _skipped(key[at], place[m], piece[m], limit)
+    return out
+
+
+def _cut_segments(p: Pieces, code: np.ndarray, a: np.ndarray, length: np.ndarray, key: np.ndarray, limit: W.U) -> tuple[np.ndarray, np.ndarray, list]:
+    """Ids and number of ids of segments; without skips also (segment, place, piece) of the merges up to LOCKSTEP characters."""
+    parts, counts, owners, merges = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     edges = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, LOCKSTEP]
     group = np.searchsorted(edges, length)
     for g, width in enumerate(edges):
-        mine = np.flatnonzero(group == g)
-        if not len(mine):
-            continue
-        at = a[mine][:, None] + np.arange(width)
-        real = np.arange(width) < length[mine][:, None]
-        chars = code[np.minimum(at, len(code) - 1)]
-        sym = _lockstep(p, np.where(real, p.char_id[chars], np.int32(-2)), kinds[mine], limit)
-        left = real & (sym != -2)
-        got, many = _ids(p, sym[left], chars[left])
-        row = np.nonzero(left)[0]
-        parts.append(got)
-        counts.append(np.bincount(row, many, len(mine)).astype(np.int64))
-        owners.append(mine)
+        every = np.flatnonzero(group == g)
+        for mine in np.split(every, range(ROWS, len(every), ROWS)) if len(every) else ():
+            at = a[mine][:, None] + np.arange(width)
+            real = np.arange(width) < length[mine][:, None]
+            chars = code[np.minimum(at, len(code) - 1)]
+            sym = np.where(real, p.char_id[chars], np.int32(-2))
+            if limit:
+                sym = _lockstep(p, sym, key[mine], limit)
+            else:
+                met: list = []
+                sym = _agendas(p, sym, key[mine], limit, met)
+                merges += [(mine[row], place, piece) for row, place, piece in met]
+            left = real & (sym != -2)
+            got, many = _ids(p, sym[left], chars[left])
+            row = np.nonzero(left)[0]
+            parts.append(got)
+            counts.append(np.bincount(row, many, len(mine)).astype(np.int64))
+            owners.append(mine)
     for k in np.flatnonzero(group == len(edges)):
         chars = code[a[k] : a[k] + length[k]]
-        sym = _heap(p, p.char_id[chars], kinds[k], limit)
+        sym = _heap(p, p.char_id[chars], key[k], limit)
         got, many = _ids(p, sym[sym != -2], chars[sym != -2])
         parts.append(got)
         counts.append(np.array([len(got)]))
         owners.append(np.array([k]))
     pool, count, owner = (np.concatenate(x) for x in (parts, counts, owners))
-    size, where = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
+    size, where = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
     size[owner], where[owner] = count, np.cumsum(count) - count
-    n = size[which]
-    return pool[W.ragged(where[which], n)], np.bincount(text, n, len(texts)).astype(np.int64)
+    return pool[W.ragged(where, size)], size, merges
 
 
 def decode(p: Pieces, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +355,7 @@ def _model(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids, n_tokens, lossless) of every document; ``lossless`` says that decoding the ids gives the text back."""
     from .common import buffers, slices, texts
 
@@ -327,7 +365,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         p = _pieces(held)
         for batch in slices(batches, "text", SLICE_BYTES):
             keys = batch.column("id").fill_null(-1).to_numpy().astype(np.int64).view(W.U)
-            ids, counts = encode(p, [t or "" for t in batch.column("text").to_pylist()], W.mix(keys), dropout, variants, seed)
+            ids, counts = encode(p, [t or "" for t in batch.column("text").to_pylist()], W.mix(keys), dropout, seed)
             raw, offsets = buffers(batch.column("text"))
             back, sizes = decode(p, ids, counts)
             same = sizes == np.diff(offsets)

@@ -57,6 +57,19 @@ def test_seeded_and_varied():
     assert encode([text], dropout=1.0) == [[i for ch in " " + text for i in [PIECES.char_id[ord("▁" if ch == " " else ch)]]]]
 
 
+def test_every_occurrence_draws_its_own_skips(monkeypatch):
+    """A word of several merges is varied at the rate, and an occurrence's result is its own agenda's."""
+    word = " internationalization"
+    cut = {tuple(r) for r in encode([word] * 3000, dropout=0.1)}
+    assert len(cut) > 20
+    plain = encode(["a"], dropout=0.0)[0]  # one merge, of the space and the letter
+    assert len(plain) == 1 and abs(np.mean([r != plain for r in encode(["a"] * 20_000, dropout=0.1)]) - 0.1) < 0.01
+    texts = [word * 3, " the cat sat", "a" * 100] * 20
+    before = encode(texts, dropout=0.1)
+    monkeypatch.setattr(P, "_any_skipped", lambda which, *_: np.ones(len(which), bool))  # all agendas run
+    assert encode(texts, dropout=0.1) == before
+
+
 @pytest.mark.parametrize("dropout", [0.0, 0.2, 0.7])
 def test_lockstep_and_heap_agree(dropout, monkeypatch):
     rng = random.Random(2)
