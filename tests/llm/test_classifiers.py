@@ -69,7 +69,7 @@ def test_toxicity_on_held_out_rows(spark):
     rows = [(truth[r.doc_id], r.score, r.predicted) for r in got if r.doc_id in truth and r.held_out]
     y, score, predicted = map(np.array, zip(*rows, strict=True))
     assert auc(score, y) > 0.93
-    assert predicted[y == 1].mean() > 0.55 and predicted[y == 0].mean() < 0.02
+    assert predicted[y == 1].mean() > 0.75 and predicted[y == 0].mean() < 0.01
 
 
 @pytest.mark.parametrize("module", [Q, T])
@@ -92,3 +92,21 @@ def test_scores_do_not_use_ids_labels_or_sources(spark):
     for module in (Q, T):
         got = {r.doc_id: r.score for r in module.scores(more, labels).collect()}
         assert got[3] == got[10**6] == got[None]
+
+
+def test_toxic_segments_are_trained_and_then_tried(spark):
+    """What the toxic dictionary keeps comes from the trainer and saves bytes on toxic words, and the fit doesn't depend on partitions."""
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    a, b = T.dictionaries(docs, labels), T.dictionaries(docs.repartition(9), labels.repartition(5))
+    assert a.parts == b.parts and b" idiot " in a.parts[0]
+    assert a.of(b"idiot") >= 3 and a.of(b"you are an idiot and a clown too") > a.of(b"the and of in on with by or at")
+
+
+def test_toxicity_takes_a_hot_labelled_id_once(spark):
+    """An id that many rows repeat is one document of the fit, whatever the order of its rows."""
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    marked = labels.where("toxic = 1").first().doc_id
+    hot = frame(spark, [(marked, f"zzz {k % 3}") for k in range(300)]).select(*docs.columns)
+    a = T.dictionaries(docs.unionByName(hot), labels)
+    b = T.dictionaries(hot.repartition(7).unionByName(docs), labels)
+    assert a.parts == b.parts
