@@ -93,7 +93,6 @@ class Pieces:
         if beside:
             a, b = (np.array([ord(x[k]) for x in beside], np.int64) for k in (0, 1))
             self.beside[self._pair(a, b)] = True
-        self.symbol = W.mix(np.arange(_LITERAL + 1, dtype=W.U) + W.U(0xA5A5))
         known = set(normal)
         spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() if i in known else b"" for i, p in enumerate(names)]
         self.size = np.array([len(x) for x in spelled], np.int64)
@@ -245,7 +244,7 @@ def encode(p: Pieces, texts: list[str], keys: np.ndarray, dropout: float = DROPO
     end = np.append(start[1:], len(code))
     text = np.searchsorted(begin + sizes, start, "right")
     limit = W.U(min(int(dropout * 2.0**64), 2**64 - 1))
-    own = W.hashes(code, start, end, values=p.symbol)
+    own = W.symbol_hashes(code, start, end)
     key = W.mix(own ^ W.mix(W.mix(keys[text] ^ W.U(seed)) + (start - begin[text]).astype(W.U)))
     _, first, which = np.unique(own, return_index=True, return_inverse=True)
     pool, size, merges = _cut_segments(p, code, start[first], (end - start)[first], own[first], W.U(0))

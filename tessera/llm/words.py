@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -52,11 +53,6 @@ def not_alphanumeric() -> np.ndarray:
 
 @cache
 def _byte_values() -> np.ndarray:
-    return seeds(256, 77)[lower_table()]
-
-
-@cache
-def _exact_byte_values() -> np.ndarray:
     return seeds(256, 77)
 
 
@@ -90,13 +86,68 @@ def spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True, values: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hash of each span (spans in order of start), A-Z as a-z if ``fold_case``.
+def _pieces(starts: np.ndarray, ends: np.ndarray, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of the pieces of ``width`` symbols of each span: the spans at hand, pieces of each, and the pieces' first symbol, number and span's end."""
+    count = -(-(ends - starts) // width)
+    last = np.cumsum(count)
+    block = max(SPAN // width, 1)
+    for low in range(0, int(last[-1]) if len(last) else 0, block):
+        high = min(low + block, int(last[-1]))
+        a, b = int(np.searchsorted(last, low, "right")), int(np.searchsorted(last, high - 1, "right")) + 1
+        first = last[a:b] - count[a:b]
+        here = np.minimum(last[a:b], high) - np.maximum(first, low)
+        number = np.arange(low, high) - np.repeat(first, here)
+        yield slice(a, b), here, np.repeat(starts[a:b], here) + number * width, number, np.repeat(ends[a:b], here)
+
 
-    ``values`` gives the hash of each symbol where symbols aren't bytes.
+def _summed(mixed: np.ndarray, here: np.ndarray) -> np.ndarray:
+    total = np.concatenate((np.zeros(1, U), np.cumsum(mixed, dtype=U)))
+    to = np.cumsum(here)
+    return total[to] - total[to - here]
+
+
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True) -> np.ndarray:
+    """64-bit hash of each span of bytes, A-Z as a-z if ``fold_case``.
+
+    Every piece of eight bytes is mixed with its number in the span, and the sum is mixed again, so
+    that no pattern of the bytes cancels out as it does in a polynomial modulo a power of two.
+    """
+    out = np.zeros(len(starts), U)
+    if len(raw) < 8:
+        raw = np.concatenate((raw, np.zeros(8, np.uint8)))
+    view = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), strides=(1,))
+    for spans_, here, at, number, end in _pieces(starts, ends, 8):
+        base = np.minimum(at, len(view) - 1)
+        piece = view[base].astype(U) >> ((at - base).astype(U) << U(3))
+        left = np.minimum(end - at, 8).astype(U)
+        piece &= U(0xFFFFFFFFFFFFFFFF) >> ((U(8) - left) << U(3))
+        if fold_case:
+            low = piece & U(0x7F7F7F7F7F7F7F7F)
+            upper = ((low + U(0x3F3F3F3F3F3F3F3F)) ^ (low + U(0x2525252525252525))) & ~piece & U(0x8080808080808080)
+            piece |= upper >> U(2)
+        out[spans_] += _summed(mix(piece ^ mix(number.astype(U) + U(77))), here)
+    return mix(out ^ ((ends - starts).astype(U) * U(0x9E3779B97F4A7C15)))
+
+
+def symbol_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same of spans of symbols below 2**21, three to a piece."""
+    out = np.zeros(len(starts), U)
+    for spans_, here, at, number, end in _pieces(starts, ends, 3):
+        piece = code[at].astype(U) + U(1)
+        for k in (1, 2):
+            inside = np.flatnonzero(at + k < end)
+            piece[inside] |= (code[at[inside] + k].astype(U) + U(1)) << U(21 * k)
+        out[spans_] += _summed(mix(piece ^ mix(number.astype(U) + U(79))), here)
+    return mix(out ^ ((ends - starts).astype(U) * U(0x9E3779B97F4A7C15)))
+
+
+def rolled(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span (in order of start) by sums of powers, for short spans that overlap.
+
+    A polynomial modulo 2**64 gives some long patterns one hash: whoever takes equal hashes for
+    equal spans has to compare the bytes.
     """
-    if values is None:
-        values = _byte_values() if fold_case else _exact_byte_values()
+    values = _byte_values()
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):

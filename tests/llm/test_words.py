@@ -28,6 +28,31 @@ def test_words_and_their_hashes(texts):
         assert len(set(by.values())) == len(by)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_complementary_patterns_stay_apart():
+    """A polynomial modulo a power of two gives such a word and its complement one hash, whatever the base."""
+    word = thue_morse(2048)
+    raw, offsets = packed([word, word.translate(str.maketrans("ab", "ba"))])
+    start, end, _ = W.spans(raw, offsets, W.white_space())
+    assert len(set(W.hashes(raw, start, end).tolist())) == 2
+    code = raw.astype(np.int64)
+    assert len(set(W.symbol_hashes(code, start, end).tolist())) == 2
+
+
+@given(st.lists(st.integers(0, 5), max_size=12), st.integers(1, 12))
+def test_symbol_hashes(codes, n):
+    code = np.array(codes, np.int64)
+    spans = [(a, b) for a in range(len(codes)) for b in range(a + 1, min(len(codes), a + n) + 1)]
+    start, end = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
+    by = {}
+    for (a, b), h in zip(spans, W.symbol_hashes(code, start, end).tolist()):
+        assert by.setdefault(tuple(codes[a:b]), h) == h
+    assert len(set(by.values())) == len(by)
+
+
 @given(TEXTS, st.integers(1, 4))
 def test_grams_stay_in_a_text(texts, k):
     raw, offsets = packed(texts)
