@@ -10,13 +10,18 @@ suffix at the token with the bytes in front of it that its windows need. That is
 suffixes and three times the text, instead of a hundred times.
 
 1. Anchored suffixes that repeat within a slice of a map task are settled there: all but the
-   earliest go (a pre-aggregation that keeps hot passages from the shuffle).
+   earliest go (a pre-aggregation that keeps hot passages from the buckets). Their spans travel in
+   parcels of their own, dealt evenly, that no bucket holds.
 2. Sampled splitters range-partition the others by leading token. Splitters lie between tokens,
-   so that equal windows never stand on two sides of a boundary. A token that is hot in the sample
-   is dealt by the bytes around it that all windows of a third of the offsets share.
+   so that equal windows never stand on two sides of a boundary. Their number follows the text's
+   size up to ``MOST_SPLITTERS``, and the sample follows their number; beyond that each range is
+   dealt to several buckets by a hash of the token, so that buckets don't grow. A token that is
+   hot in the sample is dealt by the bytes around it that all windows of a third of the offsets
+   share.
 3. Each bucket sorts its anchored suffixes by multikey quicksort, eight bytes a character. Where a
    suffix parts from all others, windows that reach beyond that character are unique. The others
-   are compared as whole windows (64-bit hashes); all but the earliest of equals are marked.
+   are compared as whole windows: by rolling hashes, and then byte by byte with the earliest of
+   their group. All but the earliest of equals are marked.
 4. Marked spans meet their document again by id, and the bytes outside them are kept.
 
 Defined results: a null text is empty; texts under 100 bytes keep all bytes; a null id counts as
@@ -44,9 +49,11 @@ _TOKENS = WINDOW - TOKEN + 1
 SLICE_BYTES = 4 << 20
 #: Text bytes of an average bucket; a bucket is sorted in memory.
 BUCKET_BYTES = 5 << 19
-#: Documents sampled for the splitters, and tokens of each.
-SAMPLE_DOCS, SAMPLE_TOKENS = 4000, 32
-_BLOBS = "bucket int, blob binary"
+#: Splitters at most (1 MB); documents sampled for them at least, and tokens of each.
+MOST_SPLITTERS, SAMPLE_DOCS, SAMPLE_TOKENS = 1 << 17, 4000, 32
+#: The bucket number of settled spans.
+_SETTLED = -1
+_BLOBS = "bucket bigint, part bigint, blob binary"
 _SPANS = "id bigint, tag bigint, s int, e int"
 _PARTS = np.array([0, 31, 62, _TOKENS])
 
@@ -89,12 +96,52 @@ def tokens_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return raw[at[:, None] + np.arange(TOKEN)].copy().view(">u8").ravel().astype(W.U)
 
 
-def _earliest(key: np.ndarray) -> np.ndarray:
-    """True at the first of equal keys."""
+def _representatives(key: np.ndarray) -> np.ndarray:
+    """The place of the first of equal keys, for each."""
     order = np.argsort(key, kind="stable")
     first = np.ones(len(key), bool)
-    first[order[1:]] = key[order[1:]] != key[order[:-1]]
-    return first
+    first[1:] = key[order[1:]] != key[order[:-1]]
+    out = np.empty(len(key), np.int64)
+    out[order] = order[first][np.cumsum(first) - 1] if len(key) else order
+    return out
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from a equal those from b."""
+    out = np.empty(len(a), bool)
+    step = max(1, W.SPAN // max(int(size.max(initial=1)), 1))
+    for x in range(0, len(a), step):
+        n = size[x : x + step].astype(np.int64)
+        same = data[W.ragged(a[x : x + step], n)] == data[W.ragged(b[x : x + step], n)]
+        out[x : x + step] = np.add.reduceat(same, np.cumsum(n) - n) == n
+    return out
+
+
+def first_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, runs: bool = False) -> np.ndarray:
+    """For each span of ``data`` the first one with the same bytes; ``key`` is a hash of them.
+
+    With ``runs`` (one size for all spans), a span behind one whose match stands before its own
+    match is compared in its last byte alone.
+    """
+    rep = _representatives(key)
+    later = np.flatnonzero(rep != np.arange(len(rep)))
+    if not len(later):
+        return rep
+    whole = np.ones(len(later), bool)
+    if runs:
+        whole[1:] = (np.diff(later) != 1) | (np.diff(start[later]) != 1) | (np.diff(start[rep[later]]) != 1)
+    same = np.empty(len(later), bool)
+    same[whole] = _equal(data, start[later[whole]], start[rep[later[whole]]], size[later[whole]])
+    tail = later[~whole]
+    same[~whole] = data[start[tail] + size[tail] - 1] == data[start[rep[tail]] + size[tail] - 1]
+    if runs and not same.all():  # what follows an unequal span has to be compared whole
+        same[~whole] = _equal(data, start[tail], start[rep[tail]], size[tail])
+    if not same.all():  # unlike spans of one hash: told apart by their bytes
+        for group in np.unique(rep[later[~same]]):
+            seen: dict[bytes, int] = {}
+            for i in np.flatnonzero(rep == group).tolist():
+                rep[i] = seen.setdefault(data[start[i] : start[i] + size[i]].tobytes(), i)
+    return rep
 
 
 def _pack(ids, tags, at, offset, size, data, dup) -> bytes:
@@ -117,7 +164,7 @@ def _unpack(blob: bytes) -> tuple:
     return (*out, raw[at:])
 
 
-def _deal(splitters: np.ndarray, hot: np.ndarray, n_buckets: int):
+def _deal(splitters: np.ndarray, hot: np.ndarray, n_buckets: int, per_range: int):
     """Map side: anchored suffixes of each slice, settled where they repeat in it, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +177,9 @@ def _deal(splitters: np.ndarray, hot: np.ndarray, n_buckets: int):
             if not len(first):
                 continue
             token = tokens_at(raw, anchor)
-            bucket = np.searchsorted(splitters, token, "right")
+            bucket = np.searchsorted(splitters, token, "right") * per_range
+            if per_range > 1:
+                bucket += (W.mix(token) % W.U(per_range)).astype(np.int64)
             # hot tokens: cut by thirds of the offsets, deal by the bytes that all windows of a third share
             is_hot = np.isin(token, hot)
             if is_hot.any():
@@ -148,19 +197,28 @@ def _deal(splitters: np.ndarray, hot: np.ndarray, n_buckets: int):
                 first, last, anchor, bucket = first[order], last[order], anchor[order], bucket[order]
             doc = np.searchsorted(offsets, first, "right") - 1
             size = last - first + WINDOW
-            own = _earliest(W.hashes(raw, first, first + size, False))
+            # equal bytes around unlike anchors are unlike suffixes
+            key = W.mix(W.hashes(raw, first, first + size, False) ^ W.mix((anchor - first).astype(W.U)))
+            own = first_of(raw, first, size, key) == np.arange(len(first))
             at = first - offsets[doc]
-            order = np.argsort(bucket, kind="stable")
+            spans = lambda k: (ids[doc[k]], tags[doc[k]], at[k], at[k] + size[k])
+            ship, dup = np.flatnonzero(own), np.flatnonzero(~own)
+            order = ship[np.argsort(bucket[ship], kind="stable")]
             edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
-            names, blobs = [], []
+            none = spans(dup[:0])
+            names, parts, blobs = [], [], []
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 mine = order[x:y]
-                ship, dup = mine[own[mine]], mine[~own[mine]]
-                data = raw[W.ragged(first[ship], size[ship])]
-                blobs.append(_pack(ids[doc[ship]], tags[doc[ship]], at[ship], anchor[ship] - first[ship], size[ship], data, (ids[doc[dup]], tags[doc[dup]], at[dup], at[dup] + size[dup])))
+                blobs.append(_pack(ids[doc[mine]], tags[doc[mine]], at[mine], anchor[mine] - first[mine], size[mine], raw[W.ragged(first[mine], size[mine])], none))
                 names.append(bucket[mine[0]])
+                parts.append(bucket[mine[0]])
+            if len(dup):
+                nothing = dup[:0]
+                blobs.append(_pack(ids[nothing], tags[nothing], at[nothing], at[nothing], at[nothing], raw[:0], spans(dup)))
+                names.append(_SETTLED)
+                parts.append(int(W.mix(np.array([ids[0], offsets[-1]], np.int64).view(W.U)).sum() >> W.U(1)))
             for x in range(0, len(blobs), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(names[x : x + 256], pa.int32()), pa.array(blobs[x : x + 256], pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[x : x + 256], pa.int64()), pa.array(parts[x : x + 256], pa.int64()), pa.array(blobs[x : x + 256], pa.binary())], ["bucket", "part", "blob"])
 
     return run
 
@@ -222,9 +280,9 @@ def _mark(blobs: list[bytes]) -> Iterator[tuple]:
     owner = np.repeat(np.arange(len(order)), count)
     by = np.argsort(start)  # hashes are taken in order of place
     key = np.empty(len(start), W.U)
-    key[by] = W.hashes(data, start[by], start[by] + WINDOW, False)
+    key[by] = W.rolled(data, start[by], start[by] + WINDOW)
     del by
-    dup = ~_earliest(key)
+    dup = first_of(data, start, np.full(len(start), WINDOW), key, True) != np.arange(len(start))
     turn = np.ones(len(dup) + 1, bool)
     turn[1:-1] = (dup[1:] != dup[:-1]) | (owner[1:] != owner[:-1])
     edge = np.flatnonzero(turn)
@@ -244,6 +302,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
     for batch in batches:
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+            if bucket == _SETTLED:
+                yield from spans([blob.as_py()])
+                continue
             if bucket != now and held:
                 yield from spans(held)
                 held = []
@@ -265,17 +326,26 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(token[order[rank < SAMPLE_TOKENS]].view(np.int64))], ["token"])
 
 
+def plan(n: int, size: int) -> tuple[int, int, int, int]:
+    """Ranges, buckets a range, documents to sample and the hash below which a row is sampled, for n rows of ``size`` bytes."""
+    n_buckets = max(1, -(-size // BUCKET_BYTES))
+    ranges = min(n_buckets, MOST_SPLITTERS + 1)
+    wanted = max(SAMPLE_DOCS, ranges)
+    return ranges, -(-n_buckets // ranges), wanted, min(2**63 - 1, (wanted << 64) // max(n, 1) - 2**63)
+
+
 def _spans(rows: DataFrame, n: int, size: int) -> DataFrame:
     spark = rows.sparkSession
-    n_buckets = max(1, -(-size // BUCKET_BYTES))
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    sampled = rows.where(F.pmod(F.xxhash64("id", "tag"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text")
-    token = np.sort(sampled.mapInArrow(_sample, "token bigint").limit(2 * SAMPLE_DOCS * SAMPLE_TOKENS).toArrow()["token"].to_numpy().view(W.U))
-    splitters = np.unique(token[(np.arange(1, n_buckets) * len(token)) // n_buckets]) if len(token) else token
+    ranges, per_range, wanted, below = plan(n, size)
+    # rows that repeat id and text have one hash: the limit bounds what they may add
+    sampled = rows.where(F.xxhash64("id", "tag") <= F.lit(below)).select("text")
+    token = np.sort(sampled.mapInArrow(_sample, "token bigint").limit(2 * wanted * SAMPLE_TOKENS).toArrow()["token"].to_numpy().view(W.U))
+    splitters = np.unique(token[(np.arange(1, ranges) * len(token)) // ranges]) if len(token) else token
     kinds, count = np.unique(token, return_counts=True)
-    hot = kinds[count > max(8, len(token) // (2 * n_buckets))]
-    blobs = rows.mapInArrow(_deal(splitters, hot, n_buckets), _BLOBS)
-    dealt = blobs.repartition(max(partitions(spark), n_buckets // 16), "bucket").sortWithinPartitions("bucket")
+    hot = kinds[count > max(8, len(token) // (2 * ranges))]
+    n_buckets = ranges * per_range
+    blobs = rows.mapInArrow(_deal(splitters, hot, n_buckets, per_range), _BLOBS)
+    dealt = blobs.repartition(max(partitions(spark), n_buckets // 16), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(_buckets, _SPANS)
 
 

@@ -78,3 +78,30 @@ def test_multikey_quicksort_depths():
     strings = [b"aaaaaaaabbbbbbbbcccccccc", b"aaaaaaaabbbbbbbbdddddddd", b"aaaaaaaaxxxxxxxxcccccccc", b"zzzzzzzzbbbbbbbbcccccccc", b"aaaaaaaabbbbbbbbcccccccc"]
     table = np.array([np.frombuffer(s, ">u8") for s in strings]).astype(W.U)
     assert S.multikey(lambda d, live: table[live, d], 5, 3).tolist() == [3, 2, 1, 0, 3]
+
+
+def test_plan_follows_the_size():
+    """Splitters and sample grow with the text up to their bound, buckets never, and the share of sampled rows is never zero."""
+    for n, size in ((0, 0), (10, 10**4), (10**6, 5 * 10**8), (5 * 10**9, 10**14), (10**12, 10**16)):
+        ranges, per_range, wanted, below = S.plan(n, size)
+        assert ranges * per_range * S.BUCKET_BYTES >= size and ranges <= S.MOST_SPLITTERS + 1
+        assert wanted >= ranges and (below + 2**63) / 2**64 * max(n, 1) >= min(wanted, n) * 0.99
+    assert S.plan(5 * 10**9, 10**14)[0] == S.MOST_SPLITTERS + 1
+
+
+def test_several_buckets_a_range(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(S, "MOST_SPLITTERS", 3)
+    docs = corpus(5)
+    got = sorted(map(tuple, S.digests(frame(spark, list(enumerate(docs))).repartition(3)).collect()))
+    assert got == [(i, *x) for i, x in enumerate(expected(docs))]
+
+
+@pytest.mark.parametrize("runs", [False, True])
+def test_unlike_spans_of_one_hash_are_told_apart(runs):
+    data = np.frombuffer(b"abcabdabcabcabd", np.uint8)
+    start = np.arange(0, 13) if runs else np.arange(0, 15, 3)
+    size = np.full(len(start), 3)
+    want = [next(j for j in range(i + 1) if data[start[j] : start[j] + 3].tobytes() == data[start[i] : start[i] + 3].tobytes()) for i in range(len(start))]
+    for key in (np.zeros(len(start), W.U), W.rolled(data, start, start + 3), W.hashes(data, start, start + 3)):
+        assert S.first_of(data, start, size, key, runs).tolist() == want
