@@ -10,20 +10,26 @@ of ``percent`` or more then share shingles within their rarest few (the prefix).
 * Heavy sets enter the inverted lists of the single shingles of their prefix, which are scanned.
   Light sets near the boundary enter them too, to meet heavy ones.
 * The boundary is the one of least estimated cost: subsets enumerated against list entries
-  scanned, from the sizes of all sets and the sketch's expected list length.
+  scanned, from the sizes of all sets and the sketch's expected list length. It is looked for up
+  to ``MOST_LIGHT``, from where on the subsets of a set outgrow its text; any boundary gives the
+  same links.
 
 Lists are cut into cells of a bounded number of sets by size, and only cells of compatible sizes
 are compared, so that no list ends in one task. Cells of the same sets are one. A pair of a cell
 is compared by size and by a parity sketch (one bit an element or more): the number of bits that
 differ never exceeds the symmetric difference, so nothing similar is lost. Each set carries the
 first few of its cells in a common order; a pair that two sets' lists show to meet in an earlier
-cell is left to it. Pairs that pass are compared exactly
-on their sets. First each set only proposes its first such partner of a cell; once these
+cell is left to it. Pairs that pass are compared
+on the words of their texts, not on hashes. First each set only proposes its first such partner of a cell; once these
 links are checked, all pairs of a cell whose components still differ are checked, and no others.
+Equal sets are told by 64-bit hashes of their shingles' hashes: among a billion distinct sets the
+chance that any two are taken for one is 3 %.
 
 Defined results: null or wordless texts have no set and link with nothing; repeated rows link with
 each other; a null id has a set like any other, but never names a component unless all ids of it
-are null; an empty table gives an empty result.
+are null; an empty table gives an empty result. ``distinct`` keeps one row of each group (the
+least id, then the least hash of the text; nulls last) and all rows that link with nothing; rows
+that repeat an id are rows of their own, and of rows that repeat id and text one stays.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -47,6 +53,8 @@ SLICE_BYTES = 4 << 20
 SKETCH = 18
 #: List entries of an average bucket, and sets of a cell.
 BUCKET_ENTRIES, CELL = 500_000, 2048
+#: Greatest size from which sets may be heavy.
+MOST_LIGHT = 64
 #: Cells of each set by which a pair is told to have met before.
 FIRST = 8
 _LOW = W.U((1 << 58) - 1)
@@ -83,8 +91,8 @@ def _class_ids(text: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _survey(k: int):
-    """One row (id, n, class) a document, and the task's share of the count sketch in blocks."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    """One row (id, tag, n, class) a document, and the task's share of the count sketch in blocks."""
+    schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = np.zeros(1 << SKETCH, np.int64)
@@ -93,10 +101,10 @@ def _survey(k: int):
             size, h = _class_ids(text, gram, batch.num_rows)
             bins += np.bincount((gram >> W.U(64 - SKETCH)).astype(np.int64), minlength=len(bins))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(h.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(size), pa.array(h.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if bins.any():
             parts = [zstandard.compress(x.tobytes(), 1) for x in bins.reshape(64, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(64, pa.int64()), *(pa.nulls(64, pa.int64()) for _ in range(2)), pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(64, pa.int64()) for _ in range(4)), pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -131,7 +139,7 @@ def _prefix(n, percent: int):
     return n + (-percent * n) // 100 + 1
 
 
-def boundary(histogram: dict[int, int], load: np.ndarray, percent: int, most: int = 64) -> int:
+def boundary(histogram: dict[int, int], load: np.ndarray, percent: int, most: int = MOST_LIGHT) -> int:
     """The size from which sets are heavy: least (subsets enumerated + entries put in lists and scanned)."""
     total = max(load.sum(), 1)
     # expected length of the list of a shingle, less what unlike shingles of a bin add
@@ -297,7 +305,7 @@ def _parities(text: np.ndarray, gram: np.ndarray, size: np.ndarray) -> list[byte
 def _again(k: int, wanted: np.ndarray, whole: bool):
     """(class, data) of documents that the filter lets pass, one of each class and slice.
 
-    Data: the whole set or its parity sketch.
+    Data: the whole text or its set's parity sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +317,9 @@ def _again(k: int, wanted: np.ndarray, whole: bool):
             size, h = _class_ids(text, gram, batch.num_rows)
             _, first = np.unique(h, return_index=True)
             first = first[size[first] > 0]
-            ends = np.cumsum(size)
             if whole:
-                out = [gram[ends[i] - size[i] : ends[i]].tobytes() for i in first]
+                column = batch.column("text").cast(pa.large_binary())
+                out = [zstandard.compress(column[i].as_py(), 3) for i in first.tolist()]
             else:
                 every = _parities(text, gram, size)
                 out = [every[i] for i in first]
@@ -406,32 +414,47 @@ def _compare(percent: int, crossing: bool):
     return run
 
 
-def _similar(percent: int):
+def shingles(text: bytes, k: int) -> set[bytes]:
+    """The shingles themselves: k words (all of a shorter text) in lower case with a space between."""
+    words = text.lower().split()  # of bytes: A-Z alone, white space 0x20 and 0x09 to 0x0D
+    k = min(k, len(words)) or 1
+    return set(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+
+
+def _similar(k: int, percent: int):
+    """The pairs whose sets are similar, word by word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), W.U), np.frombuffer(y.as_buffer(), W.U)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            keep, last, held = [], None, set()
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                if a != last:
+                    last, held = a, shingles(zstandard.decompress(x.as_buffer()), k)
+                other = shingles(zstandard.decompress(y.as_buffer()), k)
+                shared = len(held & other)
+                keep.append(100 * shared >= percent * (len(held) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes whose sets are similar, compared on the whole sets."""
+def _verified(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of classes whose sets are similar, compared on the whole texts."""
     one = pairs.join(members.select(F.col("h").alias("a"), F.col("data").alias("x")), "a")
     both = one.join(members.select(F.col("h").alias("b"), F.col("data").alias("y")), "b")
-    return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_similar(percent), "a bigint, b bigint"))
+    return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_similar(k, percent), "a bigint, b bigint"))
+
+
+def _tag(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(id, n, h) of every row, h naming its set, and the links (a, b) between classes that suffice for the components."""
+    """(id, tag, n, h) of every row, the tag a hash of its text and h naming its set, and the links (a, b) between classes that suffice for the components."""
     rows = texts(docs, id_col, text_col)
     spark = rows.sparkSession
-    survey = checkpoint(rows.mapInArrow(_survey(k), "id bigint, n bigint, h bigint, block int, counts binary"))
-    each = survey.where("block is null").select("id", "n", "h")
+    survey = checkpoint(rows.withColumn("tag", _tag(F.col("text"))).mapInArrow(_survey(k), "id bigint, tag bigint, n bigint, h bigint, block int, counts binary"))
+    each = survey.where("block is null").select("id", "tag", "n", "h")
     load = _load(survey)
     small = {r.n: r.c for r in each.where("n between 1 and 200").groupBy("n").agg(F.countDistinct("h").alias("c")).collect()}
     heavy_from = boundary(small, load, percent)
@@ -468,12 +491,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     def members(bits: np.ndarray, who: DataFrame) -> DataFrame:
         return checkpoint(rows.mapInArrow(_again(k, bits, True), "h bigint, data binary").join(who, "h", "left_semi").groupBy("h").agg(F.min("data").alias("data")))
 
-    links = _verified(proposed, members(passing, ends), percent)
+    links = _verified(proposed, members(passing, ends), k, percent)
     more = candidates(True, connected(links)).join(proposed, ["a", "b"], "left_anti")
     more = checkpoint(more)
     if not more.isEmpty():
         ends = more.select(F.col("a").alias("h")).unionByName(more.select(F.col("b").alias("h"))).distinct()
-        links = links.unionByName(_verified(more, members(key_filter(wanted.join(ends, "h", "left_semi"), "id"), ends), percent))
+        links = links.unionByName(_verified(more, members(key_filter(wanted.join(ends, "h", "left_semi"), "id"), ends), k, percent))
     return each, links
 
 
@@ -489,10 +512,23 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, that are the first by id of their group; rows that repeat an id stay as one."""
-    found = clusters(docs, id_col, text_col, k, percent)
-    name = fresh("later")
-    later = found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(later, docs[id_col].cast("bigint").eqNullSafe(F.col(name)), "left_anti")
-    n, ids, nulls = found.agg(F.count("*"), F.countDistinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    return kept if n == ids + min(nulls, 1) else kept.dropDuplicates([id_col])
+    """The documents, with all their columns: one row of each group, and every row that links with nothing.
+
+    A row goes by its id and its text's hash, never by its id alone.
+    """
+    each, links = classes(docs, id_col, text_col, k, percent)
+    rows = each.where("n > 0").groupBy("h", "id", "tag").agg(F.count("*").alias("n"))
+    rows = checkpoint(rows.join(connected(links).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    judged = checkpoint(rows.join(first, "root").select("id", "tag", "n", (order == F.col("first")).alias("stays")))
+    own_id, own_tag, id_name, tag_name = fresh("own_id"), fresh("own_tag"), fresh("id"), fresh("tag")
+    named = lambda which: judged.where(which).select(F.col("id").alias(id_name), F.col("tag").alias(tag_name))
+    marked = docs.withColumns({own_id: docs[id_col].cast("bigint"), own_tag: _tag(docs[text_col].cast("string"))})
+    same = F.col(own_id).eqNullSafe(F.col(id_name)) & (F.col(own_tag) == F.col(tag_name))
+    kept = marked.join(named("not stays"), same, "left_anti")
+    repeated = checkpoint(named("stays and n > 1"))
+    if not repeated.isEmpty():
+        one = kept.join(repeated, same, "left_semi").dropDuplicates([own_id, own_tag])
+        kept = kept.join(repeated, same, "left_anti").unionByName(one)
+    return kept.select(*docs.columns)

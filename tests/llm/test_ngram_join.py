@@ -83,11 +83,60 @@ def test_odd_rows_clashing_columns_and_empty_table(spark, odd, clashing, empty,
     assert run(empty) == []
 
 
-def test_distinct_keeps_one_of_each_group(spark, clashing, odd_rows):
-    got = J.distinct(clashing)
-    assert got.columns == clashing.columns
-    ids = [r.doc_id for r in got.collect()]
-    assert sorted(ids, key=str) == sorted([None, 1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12], key=str)
+def kept(rows, k=J.SHINGLE, percent=J.PERCENT):
+    """Rows that stay: of each group the least by id (null last) and text's hash, whichever repeats; all rows without words."""
+    sets = [shingles(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    out = [r for r, s in zip(rows, sets) if not s]
+    groups = {}
+    for i, r in enumerate(rows):
+        if sets[i]:
+            groups.setdefault(find(i), []).append(r)
+    return out, list(groups.values())
+
+
+@pytest.mark.parametrize("case", ["odd", "seven", "corpus"])
+def test_distinct_keeps_one_row_of_each_group(spark, clashing, odd_rows, case):
+    a = "some words that stand here more than once in a row"
+    seven = [(1, a), (7, a), (7, "unrelated text under the same id"), (None, a), (None, "another text without an id"), (9, "x"), (9, "y z")]
+    rows = {"odd": odd_rows, "seven": seven, "corpus": [(i % 50, t) for i, t in corpus(11)]}[case]
+    docs = clashing if case == "odd" else frame(spark, rows).repartition(3)
+    got = J.distinct(docs)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    alone, groups = kept(rows)
+    for r in alone:
+        left.remove(r)
+    for g in groups:
+        least = min((i is None, i or 0) for i, _ in g)
+        mine = [r for r in left if r in g]
+        assert len(mine) == 1 and (mine[0][0] is None, mine[0][0] or 0) == least
+        left.remove(mine[0])
+    assert left == []
+    if case == "seven":
+        assert {(r.doc_id, r.text) for r in got.collect()} == {seven[0], seven[2], seven[4], seven[5], seven[6]}
+
+
+def test_unlike_words_of_a_pattern_stay_apart(spark):
+    """A pattern and its complement, which polynomial hashes take for one word."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert run(frame(spark, [(1, word), (2, other), (3, word)])) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_shingles_of_bytes():
+    for t in ("", " \x0b\t", "One", "a B\x0cc\x85d É e f", "x\x1cy z\x00 w v u"):
+        assert J.shingles(t.encode(), 4) == {b" ".join(s) for s in shingles(t, 4)}
 
 
 def test_boundary_follows_the_cost():
