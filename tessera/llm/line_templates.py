@@ -4,10 +4,11 @@ A line's tokens are its white-space separated words; a token with a digit is a v
 The tree's first level is the number of tokens, the next ``DEPTH`` levels are the leading tokens
 (variable fields alike). What differs from the sequential parser of that kind is that no step
 depends on the order of lines, so that the result is the same however the corpus is partitioned:
-in a leaf that holds several distinct lines, a place is constant if more than half of its lines
-(each counted once a document) have the same token there. Lines that agree with the constants in
-a share of ``SIMILARITY`` of their tokens or more are one template, whose other places are
-variable fields. The vote is repeated on the lines that are left over; where it gives no template,
+in a leaf that holds several distinct lines, a place behind the leading ones is constant if more
+than half of its lines (each counted once a document) have the same token, or a field, there.
+Lines that agree with the constants in a share of ``SIMILARITY`` of these places or more are one
+template, whose other places are variable fields. The leading tokens are alike by construction and
+don't count. The vote is repeated on the lines that are left over; where it gives no template,
 they are split by their tokens at the place whose most frequent token has most votes (the first
 such place, of those where the lines differ). It ends where fewer than ``MIN_DOCS`` documents or
 a single line are left. Any other line is a template of its own, with its digit fields.
@@ -15,9 +16,11 @@ a single line are left. Any other line is a template of its own, with its digit
 A template that occurs in ``MIN_DOCS`` documents or more recurs: its lines are dropped, all but
 the first by document id and place. Lines without tokens stay.
 
-Counts are aggregations by template, with map-side combination. Only lines of leaves that recur
-and hold several distinct lines send their tokens, found by a bit filter of a fixed size and
-joined exactly behind it.
+Counts are aggregations by leaf, line or template, with map-side combination. Only lines of leaves
+that recur take part, and of these only lines of leaves with several distinct lines send their
+tokens; both are found by a bit filter of a fixed size, which may let more lines pass and changes
+no result. No join has the leaf alone for a key: what a vote decided goes to its lines by
+broadcast while it has ``BROADCAST_ROWS`` rows or fewer, and else by a join salted by line.
 
 Defined results: a null text is empty and has no lines; a null id counts as the largest; rows
 that repeat an id are documents of their own, told apart by their text; rows that repeat id and
@@ -41,6 +44,8 @@ DEPTH = 4
 SIMILARITY = 0.7
 MIN_DOCS = 10
 SLICE_BYTES = 4 << 20
+#: Rows (at most 32 bytes each) that a join broadcasts, and what a larger join spreads a key over.
+BROADCAST_ROWS, SALTS = 1 << 20, 32
 _LINE_END = np.arange(256) == 10
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
@@ -74,11 +79,16 @@ def _keys(n: np.ndarray, token: np.ndarray, at: np.ndarray, depth: int) -> tuple
     return leaf, W.mix((total[at + n] - total[at]) ^ leaf)
 
 
-def _parse(depth: int):
+def _parse(depth: int, wanted: np.ndarray | None = None):
+    """(id, tag, number, leaf, line) of the lines, with ``wanted`` of those whose leaves the filter lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             of, number, n, token, at = _lines(*buffers(batch.column("text")))
             leaf, line = _keys(n, token, at, depth)
+            if wanted is not None:
+                some = passes(wanted, leaf.view(np.int64))
+                of, number, leaf, line = of[some], number[some], leaf[some], line[some]
             pick = pa.array(of)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pick), batch.column("tag").take(pick), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64))], ["id", "tag", "number", "leaf", "line"])
 
@@ -86,21 +96,32 @@ def _parse(depth: int):
 
 
 def _tokens(depth: int, wanted: np.ndarray):
-    """(leaf, line, tokens) of the distinct lines of a slice whose leaves the filter lets pass; fields are null."""
+    """(leaf, line, tokens) of the distinct lines of a slice whose leaves the filter lets pass; the tokens behind the leading ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             of, number, n, token, at = _lines(*buffers(batch.column("text")))
             leaf, line = _keys(n, token, at, depth)
             _, first = np.unique(line, return_index=True)
-            pick = first[passes(wanted, leaf[first].view(np.int64))]
-            values = token[W.ragged(at[pick], n[pick])]
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n[pick]))).astype(np.int32), pa.array(values.view(np.int64), mask=values == FIELD))
+            pick = first[passes(wanted, leaf[first].view(np.int64)) & (n[first] > depth)]
+            size = n[pick] - depth
+            values = token[W.ragged(at[pick] + depth, size)]
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(leaf[pick].view(np.int64)), pa.array(line[pick].view(np.int64)), lists], ["leaf", "line", "tokens"])
 
     return run
 
 
+def _told(lines: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Joins lines with what was decided for their parts, however many lines a part has."""
+    small = checkpoint(small)
+    if small.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(small), on, how)
+    salt = fresh("salt")
+    many = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn(salt, F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")).join(many, [*on, salt], how).drop(salt)
+
+
 def _general(told: DataFrame, similarity: float, min_docs: int) -> DataFrame:
     """(leaf, line, part) of the lines that belong to a general template; ``part`` names it."""
     rest = told.withColumn("part", F.col("leaf"))
@@ -109,8 +130,8 @@ def _general(told: DataFrame, similarity: float, min_docs: int) -> DataFrame:
         places = rest.select("part", "line", "docs", F.posexplode("tokens").alias("place", "token"))
         votes = places.groupBy("part", "place", "token").agg(F.sum("docs").alias("docs"))
         top = checkpoint(votes.groupBy("part", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all")))
-        constant = top.where("2 * top.docs > all and top.token is not null").select("part", "place", F.col("top.token").alias("token"))
-        agree = places.join(constant, ["part", "place", "token"], "left_semi").groupBy("part", "line").agg(F.count("*").alias("same"))
+        constant = top.where("2 * top.docs > all").select("part", "place", F.col("top.token").alias("token"))
+        agree = _told(places, constant, ["part", "place", "token"], "left_semi").groupBy("part", "line").agg(F.count("*").alias("same"))
         judged = rest.join(agree, ["part", "line"], "left").withColumn("general", F.coalesce(F.col("same") >= F.lit(similarity) * F.size("tokens"), F.lit(False))).drop("same")
         judged = checkpoint(judged)
         found.append(judged.where("general").select("leaf", "line", "part"))
@@ -119,10 +140,10 @@ def _general(told: DataFrame, similarity: float, min_docs: int) -> DataFrame:
         state = state.where((F.col("left") >= min_docs) & (F.col("n") > 1)).select("part", "has")
         split = top.where("top.docs < all").groupBy("part").agg(F.max(F.struct("top.docs", -F.col("place"))).alias("best")).select("part", (-F.col("best.col2")).alias("place"))
         state = state.join(split, "part", "left").where("has or place is not null")
-        child = F.when(F.col("has"), F.xxhash64("part", F.lit(len(found)))).otherwise(F.xxhash64("part", "place", F.coalesce(F.get("tokens", F.col("place")), F.lit(0).cast("bigint"))))
-        rest = judged.where(~F.col("general")).drop("general").join(state, "part").withColumn("part", child).drop("has", "place")
+        child = F.when(F.col("has"), F.xxhash64("part", F.lit(len(found)))).otherwise(F.xxhash64("part", "place", F.get("tokens", F.col("place"))))
+        rest = checkpoint(_told(judged.where(~F.col("general")).drop("general"), state, ["part"], "inner").withColumn("part", child).drop("has", "place"))
         large = rest.groupBy("part").agg(F.sum("docs").alias("left"), F.count("*").alias("n")).where((F.col("left") >= min_docs) & (F.col("n") > 1)).select("part")
-        rest = checkpoint(rest.join(large, "part", "left_semi"))
+        rest = checkpoint(_told(rest, large, ["part"], "left_semi"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -130,15 +151,14 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     """The documents with their tags, and (id, tag, numbers) of the lines to drop."""
     own = tagged(docs, id_col, text_col)
     rows = own.rows
-    parsed = rows.mapInArrow(_parse(depth), "id bigint, tag bigint, number int, leaf bigint, line bigint")
-    in_docs = parsed.select("leaf", "id", "tag").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    lines = checkpoint(parsed.join(in_docs.select("leaf"), "leaf", "left_semi"))
+    shape = "id bigint, tag bigint, number int, leaf bigint, line bigint"
+    in_docs = rows.mapInArrow(_parse(depth), shape).select("leaf", "id", "tag").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
+    lines = checkpoint(rows.mapInArrow(_parse(depth, key_filter(in_docs.where(F.col("docs") >= min_docs), "leaf")), shape))
 
     each = checkpoint(lines.select("leaf", "line", "id", "tag").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs")))
-    several = each.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
-    several = checkpoint(several)
+    several = each.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("docs")).where((F.col("n") > 1) & (F.col("docs") >= min_docs))
     told = rows.mapInArrow(_tokens(depth, key_filter(several, "leaf")), "leaf bigint, line bigint, tokens array<bigint>")
-    told = checkpoint(told.join(several, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens")).join(each, ["leaf", "line"]))
+    told = checkpoint(told.groupBy("leaf", "line").agg(F.min("tokens").alias("tokens")).join(each, ["leaf", "line"]))
     members = _general(told, similarity, min_docs)
 
     # a general template is named by its part of the leaf, any other by its line

@@ -59,10 +59,10 @@ def lines(depth: int = line_templates.DEPTH, similarity: float = line_templates.
     y AS (SELECT x.* FROM x SEMI JOIN f USING (leaf)),
     e AS (SELECT leaf, w, count(DISTINCT id) AS docs FROM y GROUP BY leaf, w),
     m AS (SELECT leaf FROM e GROUP BY leaf HAVING count(*) > 1),
-    p AS (SELECT leaf, w, docs, unnest(range(1, len(w) + 1)) AS pos FROM e SEMI JOIN m USING (leaf)),
+    p AS (SELECT leaf, w, docs, unnest(range({depth} + 1, len(w) + 1)) AS pos FROM e SEMI JOIN m USING (leaf)),
     v AS (SELECT leaf, pos, w[pos] AS token, sum(docs) AS docs FROM p GROUP BY ALL),
-    z AS (SELECT leaf, pos, token FROM (SELECT *, sum(docs) OVER (PARTITION BY leaf, pos) AS every FROM v) WHERE 2 * docs > every AND token <> ' '),
-    g AS (SELECT p.leaf, p.w FROM p JOIN z ON z.leaf = p.leaf AND z.pos = p.pos AND z.token = p.w[p.pos] GROUP BY p.leaf, p.w HAVING count(*) >= CAST({similarity} AS DOUBLE) * len(p.w)),
+    z AS (SELECT leaf, pos, token FROM (SELECT *, sum(docs) OVER (PARTITION BY leaf, pos) AS every FROM v) WHERE 2 * docs > every),
+    g AS (SELECT p.leaf, p.w FROM p JOIN z ON z.leaf = p.leaf AND z.pos = p.pos AND z.token = p.w[p.pos] GROUP BY p.leaf, p.w HAVING count(*) >= CAST({similarity} AS DOUBLE) * (len(p.w) - {depth})),
     q AS (SELECT id, k, leaf, CASE WHEN g.w IS NULL THEN y.w END AS own FROM y LEFT JOIN g USING (leaf, w)),
     r AS (SELECT leaf, own, min({{'id': id, 'k': k}}) AS first FROM q GROUP BY leaf, own HAVING count(DISTINCT id) >= {min_docs}),
     c AS (SELECT q.id, q.k FROM q JOIN r ON r.leaf = q.leaf AND r.own IS NOT DISTINCT FROM q.own WHERE {{'id': q.id, 'k': q.k}} <> r.first),
