@@ -35,6 +35,3 @@ class EngineError(Exception):
         super().__init__(f"{code.value}: {message}" if message else code.value)
         self.code, self.message = code, message
 
-
-def fail(code: Code, message: str = "") -> None:
-    raise EngineError(code, message)

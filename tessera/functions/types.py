@@ -82,7 +82,7 @@ def _double(text: str) -> float:
 def double_text(value: float) -> str:
     """The shortest text that reads back as the same double, in fixed or exponent form; fixed if both are as long.
 
-    The one place that decides how floats turn into text.
+    ``double_format`` says the same of columns.
     """
     if not math.isfinite(value):
         return str(value)
@@ -97,6 +97,39 @@ def double_text(value: float) -> str:
     return fixed if len(fixed) <= len(scientific) else scientific
 
 
+def double_format(c: Column) -> Column:
+    """``double_text`` of a column, from the digits that Spark's own cast gives.
+
+    These may be one more than needed, so that one less is tried.
+    """
+    body = F.regexp_replace(F.abs(c).cast("string"), "-", "~")  # the sign of the exponent, so that it can be told from digits
+    mantissa, power = F.split_part(body, F.lit("E"), F.lit(1)), F.split_part(body, F.lit("E"), F.lit(2))
+    shift = F.when(power == "", 0).otherwise(F.regexp_replace(power, "~", "-").try_cast("int"))
+    whole = F.split_part(mantissa, F.lit("."), F.lit(1))
+    every = F.concat(whole, F.split_part(mantissa, F.lit("."), F.lit(2)))
+    bare = F.regexp_replace(every, "^0+", "")
+    first = F.length(whole) + shift - (F.length(every) - F.length(bare)) - 1  # the first digit's power of ten
+    fewer = ((bare.try_cast("bigint") + 5) / 10).cast("bigint").cast("string")
+    rounded = F.concat(fewer, F.lit("E"), (first - F.length(bare) + 2).cast("string"))
+    shorter = (F.length(bare) > 1) & (rounded.try_cast("double") == F.abs(c))
+    first = F.when(shorter, first + F.length(fewer) - F.length(bare) + 1).otherwise(first)
+    digits = F.regexp_replace(F.when(shorter, fewer).otherwise(bare), "0+$", "")
+    n = F.length(digits)
+    size = F.abs(first).cast("string")
+    scientific = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.when(first < 0, "e-").otherwise("e+"), F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
+    # whole numbers are written exactly; above 2**62 they are multiples of 512
+    exact = F.when(F.abs(c) < 2.0**62, F.abs(c).try_cast("bigint").cast("string")).otherwise(((F.abs(c) / 512).try_cast("bigint").cast("decimal(20,0)") * F.lit(512).cast("decimal(4,0)")).cast("string"))
+    fixed = (
+        F.when(first < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -first - 1), digits))
+        .when((first >= n - 1) & (first < 21), exact)
+        .when(first >= n - 1, F.concat(digits, F.repeat(F.lit("0"), first - n + 1)))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), first + 1), F.lit("."), F.substr(digits, first + 2)))
+    )
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    number = F.when(c == 0, "0").when(F.length(fixed) <= F.length(scientific), fixed).otherwise(scientific)
+    return F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf"))).when(c.isNotNull(), F.concat(sign, number))
+
+
 def _boolean(text: str) -> bool:
     if text not in ("true", "false"):
         raise ValueError(text)
@@ -116,7 +149,7 @@ def _no_literal(text: str) -> Any:
 BUILTIN = [
     SqlType("int32", T.IntegerType(), _integer(32), 4),
     SqlType("int64", T.LongType(), _integer(64), 8),
-    SqlType("float64", T.DoubleType(), _double, 8, text=double_text),
+    SqlType("float64", T.DoubleType(), _double, 8, text=double_text, format=double_format),
     SqlType("bool", T.BooleanType(), _boolean, 1, text=lambda v: "true" if v else "false"),
     SqlType("text", T.StringType(), str),
 ]

@@ -10,9 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .engine import Engine
+from .functions.types import SqlType, TypeRegistry
+from .plans.bound import Column, Relation
 from .sources.store import scratch
+from .sources.table import TupleId
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -147,10 +151,117 @@ def table_scan_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and hash of values by the registry: columns as text, equal hashes of equal values."""
+    """Columns as text by the registry."""
     e = engine(spark, sf_dir, "part")
-    size, name = (e.catalog.types.lookup(t) for t in ("int32", "text"))
-    return e.table("part").select("p_partkey", size.format(F.col("p_size")).alias("size_text"), (name.hash(F.col("p_brand")) == name.hash(F.concat("p_brand", F.lit("")))).alias("same_hash"))
+    return e.table("part").select("p_partkey", e.catalog.types.lookup("int32").format(F.col("p_size")).alias("size_text"))
+
+
+def hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows grouped by the hash of a value: equal values fall together, unlike ones don't."""
+    e = engine(spark, sf_dir, "part")
+    text, number = (e.catalog.types.lookup(t) for t in ("text", "int32"))
+    return e.table("part").groupBy(text.hash(F.col("p_brand")).alias("h"), number.hash(F.col("p_size")).alias("g")).agg(F.min("p_brand").alias("brand"), F.max("p_size").alias("size"), F.count("*").alias("n")).drop("h", "g")
+
+
+def float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """float64 columns as text."""
+    e = engine(spark, sf_dir, "customer")
+    return e.execute("SELECT c_custkey, c_acctbal FROM customer").select("c_custkey", e.catalog.types.lookup("float64").format(F.col("c_acctbal")).alias("balance"))
+
+
+def array_select_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array column through SELECT, spread to a row an element."""
+    e = engine(spark, sf_dir, "embeddings")
+    got = e.execute("SELECT vec_id AS v, embedding FROM embeddings WHERE label = 3")
+    return got.select("v", F.posexplode("embedding").alias("place", "x")).select("v", "place", F.col("x").cast("double").alias("x"))
+
+
+def coerce_bool_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.execute("CREATE TABLE t (a TEXT, b VARCHAR(2))")
+    e.execute("INSERT INTO t VALUES (TRUE, FALSE), (NULL, 'x')")
+    return e.execute("SELECT a, b FROM t WHERE a = TRUE OR b = 'x'")
+
+
+def statement_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script whose semicolons also stand in strings and comments, as lines of its output."""
+    e = engine(spark, sf_dir)
+    out = e.run_script("CREATE TABLE t (a INT, b TEXT); -- not; here\nINSERT INTO t VALUES (1, 'x;y') /* nor; here 'or this */ ;; SELECT b FROM t;")
+    return spark.createDataFrame(list(enumerate(out.split("\n"))), "k int, line string")
+
+
+def table_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, table = _loaded(spark, sf_dir, "nation")
+    return spark.createDataFrame([(c.number, c.name, c.type.name, c.nullable) for c in table.schema().columns], "number int, name string, type string, nullable boolean")
+
+
+class MemoryTable:
+    """A table format of its own: rows in a list on the driver."""
+
+    def __init__(self, spark: SparkSession, relation: Relation, path: str):
+        self.spark, self.relation, self.path, self.rows = spark, relation, path, []
+
+    def schema(self) -> Relation:
+        return self.relation
+
+    def dataframe(self, identity: bool = False) -> DataFrame:
+        names = ", ".join(f"{c.name} {c.type.spark.simpleString()}" for c in self.relation.columns) + ", _tid_page bigint, _tid_slot bigint"
+        rows = self.spark.createDataFrame([(*r, 0, i) for i, r in enumerate(self.rows) if r is not None], names)
+        return rows if identity else rows.drop("_tid_page", "_tid_slot")
+
+    def insert_rows(self, rows) -> list[TupleId]:
+        at = len(self.rows)
+        self.rows += [tuple(r) for r in rows]
+        return [TupleId(0, i) for i in range(at, len(self.rows))]
+
+    def delete(self, ids) -> None:
+        for t in [ids] if isinstance(ids, TupleId) else ids:
+            self.rows[t.slot_idx] = None
+
+    def update(self, tid: TupleId, row: tuple) -> TupleId:
+        self.delete(tid)
+        return self.insert_rows([row])[0]
+
+    def drop(self) -> None:
+        self.rows.clear()
+
+
+def table_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements over a table format, a factory and a path resolver that are not the engine's own."""
+    opened = []
+
+    def opener(session: SparkSession, relation: Relation, path: str) -> MemoryTable:
+        opened.append((relation.oid, relation.name, path.rpartition("/")[2]))
+        return MemoryTable(session, relation, path)
+
+    e = Engine(spark, scratch(spark, "engine"), opener=opener, place=lambda oid, name: f"/elsewhere/{name}-{oid}")
+    e.execute("CREATE TABLE t (a INT, b TEXT)")
+    e.execute("INSERT INTO t VALUES (1, 'x'), (2, 'y')")
+    e.catalog.open_table("t").delete(TupleId(0, 0))
+    (oid, name, place), = opened
+    return e.execute("SELECT a, b FROM t").withColumns({"oid": F.lit(oid), "name": F.lit(name), "place": F.lit(place)})
+
+
+def custom_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered type with its own parser and order: comparisons go by it."""
+    types = TypeRegistry()
+    grade = types.register(SqlType("grade", T.StringType(), lambda s: s.strip().lower(), 4, order=lambda c: F.length(c)))
+    e = Engine(spark, scratch(spark, "engine"), types)
+    e.catalog.create_table("t", [Column("k", types.lookup("int32"), False), Column("g", grade)])
+    e.catalog.open_table("t").insert_rows([(1, "a"), (2, "bbb"), (3, "cc"), (4, None)])
+    return e.execute("SELECT k, g FROM t WHERE g >= ' ZZ ' OR g = 'A'")
+
+
+def catalog_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a catalog holds after a drop, a close and a new start: the number of a dropped table isn't used again."""
+    e = engine(spark, sf_dir)
+    for name in ("one", "two"):
+        e.execute(f"CREATE TABLE {name} (a INT)")
+    e.catalog.drop_table(e.catalog.get_class("two")["oid"])
+    e.catalog.close()
+    again = Engine(spark, e.catalog.root)
+    again.execute("CREATE TABLE three (a INT)")
+    return again.execute("SELECT oid, name FROM sys_class WHERE relkind = 'table'")
 
 
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -163,7 +274,16 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "storage_delete": (storage_delete, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'F'"),
     "storage_update": (storage_update, "SELECT r_regionkey, CASE r_regionkey WHEN 2 THEN 'changed' ELSE r_name END AS r_name FROM region WHERE r_regionkey <> 4"),
     "table_scan_ids": (table_scan_ids, "SELECT count(*) AS ids, count(*) AS n FROM nation"),
-    "type_text": (type_text, "SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_text, TRUE AS same_hash FROM part"),
+    "type_text": (type_text, "SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_text FROM part"),
+    "hash_groups": (hash_groups, "SELECT p_brand AS brand, p_size AS size, count(*) AS n FROM part GROUP BY ALL"),
+    "float_text": (float_text, "SELECT c_custkey, regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', '') AS balance FROM customer"),
+    "array_select_ext": (array_select_ext, "SELECT vec_id AS v, CAST(i - 1 AS INTEGER) AS place, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE label = 3)"),
+    "coerce_bool_to_text": (coerce_bool_to_text, "SELECT a, b FROM (VALUES ('true', 'false'), (NULL, 'x')) t(a, b)"),
+    "statement_separators": (statement_separators, "SELECT CAST(k AS INTEGER) AS k, line FROM (VALUES (0, 'OK'), (1, ''), (2, 'OK'), (3, ''), (4, 'b'), (5, 'x;y'), (6, '(1 row)'), (7, ''), (8, '')) t(k, line)"),
+    "table_schema": (table_schema, "SELECT CAST(n AS INTEGER) AS number, name, type, TRUE AS nullable FROM (VALUES (1, 'n_nationkey', 'int32'), (2, 'n_name', 'text'), (3, 'n_regionkey', 'int32')) t(n, name, type)"),
+    "table_plugin": (table_plugin, "SELECT CAST(2 AS INTEGER) AS a, 'y' AS b, CAST(5 AS INTEGER) AS oid, 't' AS name, 't-5' AS place"),
+    "custom_type": (custom_type, "SELECT CAST(k AS INTEGER) AS k, g FROM (VALUES (1, 'a'), (2, 'bbb'), (3, 'cc')) t(k, g)"),
+    "catalog_reopened": (catalog_reopened, "SELECT CAST(oid AS INTEGER) AS oid, name FROM (VALUES (5, 'one'), (7, 'three')) t(oid, name)"),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -108,18 +108,22 @@ class ParquetTable:
             self._check(r)
         out: list[TupleId] = []
         if fit:
-            page = self._reserve()
-            out = [TupleId(page, i) for i in range(len(fit))]
-            stored = T.StructType([T.StructField(f"c{c.number}", c.type.spark, c.nullable) for c in self.relation.columns] + _IDENTITY.fields)
-            try:
-                frame = self.spark.createDataFrame([Row(*r, page, i) for i, r in enumerate(fit)], stored)
-            except Exception as e:
-                raise EngineError(Code.InvalidArgument, f"a row doesn't fit table '{self.relation.name}': {e}") from e
-            self._publish(frame.coalesce(1), page, len(fit))
+            out, batch = self._stage(fit)
+            self._manifest.change(lambda s: s["batches"].append(batch))
         if len(fit) < len(rows):
             raise EngineError(Code.OutOfMemory, f"row of more than {self.max_row_bytes} bytes")
         return out
 
+    def _stage(self, rows: list[tuple]) -> tuple[list[TupleId], dict]:
+        """Writes rows as a batch that no manifest lists yet."""
+        page = self._reserve()
+        stored = T.StructType([T.StructField(f"c{c.number}", c.type.spark, c.nullable) for c in self.relation.columns] + _IDENTITY.fields)
+        try:
+            frame = self.spark.createDataFrame([Row(*r, page, i) for i, r in enumerate(rows)], stored)
+        except Exception as e:
+            raise EngineError(Code.InvalidArgument, f"a row doesn't fit table '{self.relation.name}': {e}") from e
+        return [TupleId(page, i) for i in range(len(rows))], self._written(frame.coalesce(1), page, len(rows))
+
     def insert(self, row: tuple) -> TupleId:
         return self.insert_rows([row])[0]
 
@@ -134,37 +138,53 @@ class ParquetTable:
             given = F.col(f"`{by_name[c.name.lower()]}`").cast(c.type.spark)
             columns.append((given if c.nullable else F.when(given.isNotNull(), given).otherwise(F.raise_error(F.lit(f"NULL in non-nullable column '{c.name}'")).cast(c.type.spark))).alias(f"c{c.number}"))
         page = self._reserve()
-        self._publish(frame.select(*columns, F.lit(page).cast("bigint").alias(PAGE), F.monotonically_increasing_id().alias(SLOT)), page, None)
+        batch = self._written(frame.select(*columns, F.lit(page).cast("bigint").alias(PAGE), F.monotonically_increasing_id().alias(SLOT)), page, None)
+        self._manifest.change(lambda s: s["batches"].append(batch))
         return page
 
     def delete(self, ids: TupleId | Iterable[TupleId]) -> None:
         """Marks rows as gone; NotFound, and nothing changed, if one isn't there."""
-        ids = [ids] if isinstance(ids, TupleId) else list(ids)
-        gone = self.spark.createDataFrame([(t.page_id, t.slot_idx) for t in ids], _IDENTITY)
-        if self.dataframe(True).join(F.broadcast(gone), [PAGE, SLOT], "left_semi").count() != len(set(ids)):
+        ids = {ids} if isinstance(ids, TupleId) else set(ids)
+        gone = self._found(ids)
+        mark = self._marked(gone, len(ids))
+        self._manifest.change(lambda s: s["deletes"].append(mark))
+
+    def _found(self, ids: set[TupleId]) -> DataFrame:
+        """The identities as a frame; NotFound if one isn't there."""
+        gone = self.spark.createDataFrame([(t.page_id, t.slot_idx) for t in sorted(ids, key=lambda t: (t.page_id, t.slot_idx))], _IDENTITY)
+        if self.dataframe(True).join(F.broadcast(gone) if len(ids) <= BROADCAST_DELETES else gone, [PAGE, SLOT], "left_semi").count() != len(ids):
             raise EngineError(Code.NotFound, "no such row")
-        self._delete(gone, len(ids))
+        return gone
 
     def delete_where(self, frame: DataFrame) -> int:
         """Marks all rows of ``frame``, a filter of ``dataframe(identity=True)``, as gone; returns how many."""
         gone = frame.select(PAGE, SLOT)
         n = gone.count()
         if n:
-            self._delete(gone, n)
+            mark = self._marked(gone, n)
+            self._manifest.change(lambda s: s["deletes"].append(mark))
         return n
 
-    def _delete(self, gone: DataFrame, n: int) -> None:
+    def _marked(self, gone: DataFrame, n: int) -> dict:
+        """Writes identities that no manifest lists as deleted yet."""
         path = f"deletes/{uuid.uuid4().hex}"
         gone.write.parquet(f"{self.path}/{path}")
-        self._manifest.change(lambda s: s["deletes"].append({"path": path, "rows": n}))
+        return {"path": path, "rows": n}
 
     def update(self, tid: TupleId, row: tuple) -> TupleId:
-        """A delete and an insert; the row gets a new identity. A row that doesn't fit is found out before the delete."""
+        """A delete and an insert in one change of the manifest; the row gets a new identity."""
         self._check(tuple(row))
         if self.max_row_bytes is not None and row_bytes(self.relation, tuple(row)) > self.max_row_bytes:
             raise EngineError(Code.OutOfMemory, f"row of more than {self.max_row_bytes} bytes")
-        self.delete(tid)
-        return self.insert(row)
+        mark = self._marked(self._found({tid}), 1)
+        (new,), batch = self._stage([tuple(row)])
+
+        def edit(state: dict[str, Any]) -> None:
+            state["deletes"].append(mark)
+            state["batches"].append(batch)
+
+        self._manifest.change(edit)
+        return new
 
     def compact(self) -> None:
         """Rewrites all live rows, with their identities, as one batch without deletes."""
@@ -188,7 +208,7 @@ class ParquetTable:
         state = self._manifest.change(lambda s: s.update(next=s["next"] + 1))
         return state["next"] - 1
 
-    def _publish(self, frame: DataFrame, page: int, rows: int | None) -> None:
+    def _written(self, frame: DataFrame, page: int, rows: int | None) -> dict:
         path = f"batches/{page}-{uuid.uuid4().hex}"
         frame.write.parquet(f"{self.path}/{path}")
-        self._manifest.change(lambda s: s["batches"].append({"path": path, "rows": rows}))
+        return {"path": path, "rows": rows}
