@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, line_templates, ngram_join, oracles, piece_dropout, quality, secrets, suffix_dedup, token_counts, toxicity
-from .common import scratch, table
+from .common import checkpoint, scratch, table
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
@@ -42,11 +42,23 @@ def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits the load of all documents, repeats that commit (which must change nothing) and returns the totals."""
+    """Totals after a history of batches over all documents.
+
+    All documents are loaded, and loaded again under the same name, which must change nothing. All
+    are revised to their texts with runs of white space made one space; counted by a second
+    tokenizer version; and the Spanish ones, as revised, are withdrawn from the first version.
+    """
     rollup = token_counts.Rollup(spark, scratch(spark, "token-rollup"))
-    load = token_counts.count(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k")
+    docs = table(spark, sf_dir, "documents")
+    first, second = ((f"{TOKENIZERS}/{v}.tiktoken", v) for v in ("byte_bpe_50k", "byte_bpe_multi_50k"))
+    revised = docs.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    load, after = checkpoint(token_counts.count(docs, *first)), checkpoint(token_counts.count(revised, *first))
     rollup.commit("load", load)
     rollup.commit("load", load)
+    rollup.commit("revise", *token_counts.revision(load, after))
+    rollup.commit("recount", token_counts.count(docs, *second))
+    rollup.compact()
+    rollup.commit("withdraw", token_counts.negated(token_counts.count(revised.where("lang = 'es'"), *first)))
     return rollup.totals()
 
 

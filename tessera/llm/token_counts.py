@@ -3,9 +3,11 @@
 A rollup keeps additive totals (documents, tokens, bytes) by source, language and tokenizer
 version. It is fed with batches of signed changes: an insert adds a document's counts, a delete
 takes them away, a revision takes away the counts that were booked and adds the new ones. A
-batch is first summed by key on the executors; only these sums are written, to a folder of the
-batch's own that appears by one rename. A batch id that is already there is not applied again,
-so a job that is repeated after a failure can't count twice.
+batch is first summed by key on the executors; only these sums are written, to a folder that
+nobody reads yet. Then one small file with the batch's name is created, which fails if it is
+there: of several writers of a batch one books it, and a job that is repeated after a failure
+can't count twice. ``compact`` sums the batches so far into one folder, under a file of its own
+that says which ones it holds.
 
 Defined results: null texts count no tokens and no bytes but are documents; null source or
 language are keys of their own; repeated rows count as often as they stand there; an empty batch
@@ -15,13 +17,17 @@ commits and changes nothing; totals that come to zero documents and zero tokens
 from __future__ import annotations
 
 import base64
+import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import Folder
 from .common import buffers, slices
 
 KEY = ["source", "lang", "tokenizer"]
@@ -82,46 +88,67 @@ def _sum(deltas: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder of the shared store: one sub-folder a batch, read together."""
+    """Totals in a folder of the shared store: ``batches`` names what is booked, ``snapshots`` what is summed up, ``data`` has the sums."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._of(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._folder = Folder(spark, self.path)
 
-    def _place(self, batch_id: str) -> str:
-        name = base64.urlsafe_b64encode(batch_id.encode()).decode().rstrip("=")
-        return f"{self.path}/batches/batch-{name}"
+    @staticmethod
+    def _name(batch_id: str) -> str:
+        return base64.urlsafe_b64encode(batch_id.encode()).decode().rstrip("=") or "-"
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._of(self._place(batch_id)))
+        return self._name(batch_id) in self._folder.names("batches")
+
+    def _write(self, sums: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        sums.write.parquet(f"{self.path}/data/{name}")
+        return name
 
     def commit(self, batch_id: str, *changes: DataFrame) -> bool:
-        """Books the signed sums under ``batch_id``; False if that batch is already booked."""
+        """Books the signed sums under ``batch_id``; False, and nothing booked, if that batch already is."""
         if self.committed(batch_id):
             return False
         changes = [c.select(*KEY, *SUMS) for c in changes] or [self.spark.createDataFrame([], DELTA)]
-        both = changes[0]
-        for c in changes[1:]:
-            both = both.unionByName(c)
-        place = self._place(batch_id)
-        staging = f"{self.path}/staging/{place.rpartition('/')[2]}-{self.spark.sparkContext.applicationId}-{id(both)}"
-        _sum(both).coalesce(1).write.mode("overwrite").parquet(staging)
-        self._fs.mkdirs(self._of(f"{self.path}/batches"))
-        # a rename into a folder that exists would nest, so the loser of a race is seen and dropped
-        if self.committed(batch_id) or not self._fs.rename(self._of(staging), self._of(place)):
-            self._fs.delete(self._of(staging), True)
-            return False
-        return True
+        data = self._write(_sum(reduce(DataFrame.unionByName, changes)))
+        if self._folder.create(f"batches/{self._name(batch_id)}", data):
+            return True
+        self._folder.delete(f"data/{data}")
+        return False
+
+    def _state(self) -> tuple[dict, list[str]]:
+        """The last snapshot, and the booked batches that it doesn't hold."""
+        booked = self._folder.names("batches")
+        numbers = self._folder.names("snapshots")
+        last = json.loads(self._folder.read(f"snapshots/{numbers[-1]}")) if numbers else {"data": None, "batches": []}
+        return last, sorted(set(booked) - set(last["batches"]))
+
+    def _booked(self) -> DataFrame:
+        last, more = self._state()
+        data = [x for x in [last["data"], *(self._folder.read(f"batches/{b}") for b in more)] if x]
+        rows = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/data/{d}" for d in data)) if data else self.spark.createDataFrame([], DELTA)
+        return _sum(rows)
+
+    def compact(self) -> bool:
+        """Sums all booked batches into one snapshot; False if another one came first. Batches stay known by name."""
+        last, more = self._state()
+        data = self._write(self._booked())
+        number = len(self._folder.names("snapshots")) + 1
+        if self._folder.create(f"snapshots/{number:012d}", json.dumps({"data": data, "batches": [*last["batches"], *more]})):
+            return True
+        self._folder.delete(f"data/{data}")
+        return False
 
     def totals(self) -> DataFrame:
-        if not self._fs.exists(self._of(f"{self.path}/batches")):
-            return self.spark.createDataFrame([], DELTA)
-        booked = self.spark.read.schema(DELTA).parquet(f"{self.path}/batches/*")
-        return _sum(booked).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0) | (F.col("n_bytes") != 0))
+        return self._booked().where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0) | (F.col("n_bytes") != 0))
 
 
 def revision(before: DataFrame, after: DataFrame) -> list[DataFrame]:
     """The change set that replaces the counts ``before`` by ``after``."""
-    return [before.select(*KEY, *((-F.col(c)).alias(c) for c in SUMS)), after]
+    return [negated(before), after]
+
+
+def negated(counts: DataFrame) -> DataFrame:
+    """The change set that takes the counts away."""
+    return counts.select(*KEY, *((-F.col(c)).alias(c) for c in SUMS))

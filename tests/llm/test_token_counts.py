@@ -1,4 +1,6 @@
 import random
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 import tiktoken
 from conftest import frame, words
@@ -56,6 +58,47 @@ def test_a_batch_counts_once(spark):
     assert C.Rollup(spark, path).commit("b/2") and totals(C.Rollup(spark, path)) == expected(rows)
 
 
+def test_racing_writers_of_a_batch(spark, monkeypatch):
+    """All pass the first look before any of them books; one books."""
+    rows, df = make(spark)
+    path, count = scratch(spark, "rollup"), C.count(df(rows), FILE, "v1")
+    monkeypatch.setattr(C.Rollup, "committed", lambda self, batch_id: False)
+    with ThreadPoolExecutor(3) as pool:
+        won = list(pool.map(lambda _: C.Rollup(spark, path).commit("load", count), range(3)))
+    assert sum(won) == 1 and totals(C.Rollup(spark, path)) == expected(rows)
+    assert len(C.Rollup(spark, path)._folder.names("data")) == 1
+
+
+def test_compaction_changes_no_total_and_keeps_names(spark):
+    rows, df = make(spark)
+    rollup = C.Rollup(spark, scratch(spark, "rollup"))
+    count = lambda r: C.count(df(r), FILE, "v1")
+    assert rollup.compact() and totals(rollup) == []
+    rollup.commit("a", count(rows[:30]))
+    rollup.commit("b", count(rows[30:]))
+    assert rollup.compact() and totals(rollup) == expected(rows)
+    assert not rollup.commit("a", count(rows)) and rollup.commit("c", count(rows[:5]))
+    assert totals(rollup) == expected(rows + rows[:5])
+    assert rollup.compact() and totals(rollup) == expected(rows + rows[:5])
+
+
+def test_the_registered_history_against_brute_force(spark):
+    from tessera.llm.queries import op7_token_counts
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.source, r.lang, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    multi = tiktoken.Encoding("multi", pat_str=C.PATTERN, mergeable_ranks=C.read_ranks(FILE.replace("byte_bpe_50k", "byte_bpe_multi_50k")), special_tokens={})
+    want = {}
+    for source, lang, text in docs:
+        revised = re.sub(r"[ \t\n\x0b\f\r]+", " ", text or "").strip(" ")
+        for version, t, encoder in (("byte_bpe_50k", revised, ENCODING), ("byte_bpe_multi_50k", text or "", multi)):
+            if version == "byte_bpe_multi_50k" or lang != "es":
+                have = want.setdefault((source, lang, version), [0, 0, 0])
+                for k, n in enumerate((1, len(encoder.encode_ordinary(t)), len(t.encode()))):
+                    have[k] += n
+    assert sorted(map(tuple, op7_token_counts(spark, sf).collect()), key=str) == sorted(((*k, *v) for k, v in want.items()), key=str)
+
+
 def test_a_failed_batch_leaves_nothing(spark):
     rows, df = make(spark)
     rollup = C.Rollup(spark, scratch(spark, "rollup"))
