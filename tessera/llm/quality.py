@@ -202,11 +202,15 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return texts(docs, id_col, text_col).mapInArrow(run, "id bigint, features array<float>")
 
 
+def _marked(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """(id, y) of the labelled rows that the model may be fitted to."""
+    marked = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    return marked.where((fold(F.col("id"), FOLDS) != 0) & F.col("y").isin(0, 1)).orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
+
+
 def train(seen: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Gam:
     """Fits the model to at most ``max_rows`` labelled rows outside fold 0 of ``measured`` documents."""
-    marked = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    marked = marked.where((fold(F.col("id"), FOLDS) != 0) & F.col("y").isin(0, 1)).orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
-    rows = seen.join(F.broadcast(marked), "id").orderBy(F.xxhash64("id"), "id", "y").limit(max_rows).toArrow()
+    rows = seen.join(F.broadcast(_marked(labels, id_col, label_col, max_rows)), "id").orderBy(F.xxhash64("id"), "id", "y", "features").limit(max_rows).toArrow()
     y = rows["y"].to_numpy().astype(float)
     x = rows["features"].combine_chunks().flatten().to_numpy().reshape(len(y), len(FEATURES)) if len(y) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, y)
@@ -227,8 +231,13 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The documents, with all their columns, that score at the threshold or above."""
-    model = train(checkpoint(measured(docs, id_col, text_col)), labels, id_col, label_col, max_rows)
+    """The documents, with all their columns, that score at the threshold or above.
+
+    Features are worked out for the labelled rows to fit the model, and then once for every text.
+    """
+    ids = F.broadcast(_marked(labels, id_col, label_col, max_rows).select("id").distinct())
+    own = texts(docs, id_col, text_col).join(ids, "id", "left_semi")
+    model = train(measured(own, "id", "text"), labels, id_col, label_col, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, SLICE_BYTES):
