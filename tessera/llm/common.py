@@ -19,9 +19,11 @@ from . import words as W
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context has one (tests on one machine) a local folder is set.
+    Only where neither the setting nor the context has one, on a local master, a local folder is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and spark.sparkContext.getCheckpointDir() is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
     return named or spark.sparkContext.getCheckpointDir()

@@ -19,7 +19,7 @@ hash, so that a hash that a third of all rows hold shrinks to a row for each own
 join back splits at a hot hash.
 
 Defined results: a null text is empty; empty texts have no spans and the hash of the empty string;
-null repositories or owners count as one of their own; repeated rows are reported each; a null id
+a null repository or owner is the one with the empty name; repeated rows are reported each; a null id
 is carried.
 """
 
@@ -97,8 +97,7 @@ def spans(scanned: DataFrame) -> DataFrame:
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, repositories, owners) of every candidate: how many distinct ones have it, over the corpus."""
     by_both = found.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = by_both.groupBy("hash", "owner").agg(F.collect_set("repository").alias("some"))
-    own = by_owner.groupBy("hash").agg(F.count("*").alias("owners"))
+    own = by_both.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("owners"))
     repositories = by_both.groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("repositories"))
     return own.join(repositories, "hash")
 
