@@ -111,8 +111,8 @@ class Distance:
         # runs of words of one text, with one space between
         place = np.arange(len(of)) - np.searchsorted(of, of, "left")
         heads = np.flatnonzero(place % RUN == 0)
-        a, b = start.tolist(), end.tolist()
-        runs = [self.of(b" ".join([low[a[i]:b[i]] for i in range(x, y)])) for x, y in zip(heads.tolist(), [*heads.tolist()[1:], len(a)], strict=True)]
+        a, b, edges = start.tolist(), end.tolist(), [*heads.tolist(), len(start)]
+        runs = [self.of(b" ".join([low[a[i] : b[i]] for i in range(x, y)])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
         return np.column_stack((_spread(got[which], of, n), _spread(np.array(runs, float), of[heads], n)))
 
 
