@@ -102,5 +102,35 @@ def test_odd_rows_and_empty_tables(spark, odd, clashing, empty, odd_rows):
 
 def test_tiles_take_the_longest_first():
     item, doc = np.arange(12), np.array([0, 1, 2, 3, 4, 99, 2, 3, 4, 5, 6, 7, 8, 9])
-    pairs = np.array([(i, j) for i in range(8) for j in range(10) if (item[i : i + 5] == doc[j : j + 5]).all()])
-    assert D.tiles(item, doc, pairs, 5) == [(2, 6, 8)]
+    assert D.tiles(item, doc, 5) == [(2, 6, 8)]
+
+
+def test_tiles_against_all_places():
+    rng = random.Random(3)
+    for _ in range(150):
+        item, doc = ([rng.randrange(rng.choice([2, 4, 9])) for _ in range(rng.randrange(1, 50))] for _ in range(2))
+        k = rng.randrange(1, 6)
+        found = D.tiles(np.array(item), np.array(doc), k)
+        assert sum(x[2] for x in found) == tiling(item, doc, k)
+        assert all(item[i : i + n] == doc[j : j + n] for i, j, n in found)
+
+
+def test_tiles_do_not_rest_on_hashes(monkeypatch):
+    monkeypatch.setattr(D, "_power_sums", lambda x, s, at: np.zeros(len(at), D.W.U))
+    assert D.tiles(np.arange(12), np.array([0, 1, 2, 3, 4, 99, 2, 3, 4, 5, 6, 7, 8, 9]), 5) == [(2, 6, 8)]
+
+
+def test_patterns_that_collide_in_polynomials_are_no_match(spark):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert [r.doc_id for r in D.matches(frame(spark, [(1, word), (2, other)]), table(spark, [(5, word)])).collect()] == [1]
+
+
+def test_a_seed_that_many_items_share(spark):
+    """Items that share a passage with a long document, but not enough of it, are passed over before any place is looked up."""
+    rng = random.Random(4)
+    shared = "one two three four five"
+    items = [(i, f"{shared} {words(rng, 30, 10**6)}") for i in range(300)]
+    bench = D.Benchmark(items, D.MIN_MATCH, D.COVERAGE)
+    raw = np.frombuffer((f"{shared} x " * 3000 + items[7][1]).encode(), np.uint8)
+    assert [(x[0], x[1]) for x in bench.find(raw, np.array([0, len(raw)]))] == [(0, 7)]
