@@ -87,6 +87,41 @@ def test_lockstep_and_heap_agree(dropout, monkeypatch):
     assert encode(texts, dropout=dropout) == before
 
 
+def agenda(text, key, dropout, seed=P.SEED):
+    """The same by the definition: strings, and at each step a look at all candidates."""
+    names = {LIBRARY.id_to_piece(i): i for i in range(LIBRARY.get_piece_size()) if not (LIBRARY.is_control(i) or LIBRARY.is_unknown(i) or LIBRARY.is_byte(i))}
+    score = {p: LIBRARY.get_score(i) for p, i in names.items()}
+    chars = "\u2581" + text.replace(" ", "\u2581")
+    cuts = [0, *(i for i in range(1, len(chars)) if not PIECES.beside[PIECES._pair(np.array([ord(chars[i - 1])]), np.array([ord(chars[i])]))[0]]), len(chars)]
+    limit, out = int(dropout * 2.0**64), []
+    for a, b in zip(cuts, cuts[1:]):
+        code = np.array([ord(c) for c in chars[a:b]], np.int64)
+        own = W.symbol_hashes(code, np.array([0]), np.array([b - a]))
+        mine = W.mix(own ^ W.mix(W.mix(np.array([key]) ^ W.U(seed)) + W.U(a)))
+        parts, skipped = [(i, c) for i, c in enumerate(chars[a:b])], set()
+        while True:
+            some = [(-score[x + y], i, x + y, n) for n, ((i, x), (_, y)) in enumerate(zip(parts, parts[1:])) if x + y in names and (i, x, y) not in skipped]
+            if not some:
+                break
+            _, i, piece, n = min(some)
+            skip = W.mix(mine ^ W.mix(np.array([i * 0x10001 + (names[piece] << 20)], W.U)))[0]
+            if int(skip) < limit:
+                skipped.add((i, parts[n][1], parts[n + 1][1]))
+            else:
+                parts[n : n + 2] = [(i, piece)]
+        for _, c in parts:
+            out += [names[c]] if c in names else [int(PIECES.byte_id[x]) for x in c.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 0.9])
+def test_against_a_plain_agenda(dropout):
+    rng = random.Random(6)
+    texts = [words(rng, 15), "the internationalization of tokenization, isn't it? 12345", "aaaa" * 20, "\u00e9\u00df\U0001F600 hi  there\n" * 3, "thethethethe and then"]
+    keys = W.mix(np.arange(len(texts), dtype=W.U))
+    assert encode(texts, dropout=dropout) == [agenda(t, k, dropout) for t, k in zip(texts, keys)]
+
+
 def test_frames(spark, odd, clashing, empty, odd_rows):
     got = P.encoded(odd, MODEL)
     rows = got.collect()

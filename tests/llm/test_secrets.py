@@ -66,3 +66,10 @@ def test_query_equals_its_sql(spark):
     got = op2_secret_ownership(spark, "/root/testdata/sf0.001")
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_null_and_empty_owners_are_one(spark):
+    token = "token=abcdefghijklmn1"
+    docs = spark.createDataFrame([(1, token, None), (2, token, ""), (3, token, "a")], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.verdicts for r in secrets.report(docs, repository=F.col("source"), owner=F.col("source")).collect()}
+    assert got == {i: "unclear:2:2" for i in (1, 2, 3)}
