@@ -80,3 +80,38 @@ def test_random_order_of_rows_changes_nothing(spark):
     for stage in (P.line_dedup, P.ngram_jaccard_join, P.benchmark_decontamination):
         a, b = (sorted(map(str, stage(spark, d, "/root/testdata/sf0.001").collect())) for d in (docs, other))
         assert a == b
+
+
+def test_odd_clashing_and_empty_tables(spark, tmp_path, odd, clashing, empty, odd_rows):
+    """Every stage takes them, and rows are only lost to the stages' own decisions."""
+    bench = spark.createDataFrame([(1, "same id other text of several words"), (None, None)], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    for name, docs in (("odd", odd), ("clashing", clashing), ("empty", empty)):
+        for t, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+            df.write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        got = P.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(r.lossless for r in got)
+        if name == "empty":
+            assert got == []
+            continue
+        ids = sorted((r.doc_id for r in got), key=str)
+        # 10 repeats 9, a row of 6 the other, and the benchmark has one text of 7; what has no words stays
+        assert ids == sorted([None, None, 1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12], key=str)
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "unrelated text under this id"), (None, "a b c d e f"), (None, "one more text without an id"), (9, "x"), (9, "y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {(r.doc_id, r.text) for r in P.ngram_jaccard_join(spark, docs, DATA).collect()}
+    assert got == {rows[0], rows[2], rows[4], rows[5], rows[6]}
+
+
+def test_intermediate_folders_go(spark):
+    from tessera.llm.common import shared_folder
+    from tessera.sources.store import Folder
+
+    folder = Folder(spark, shared_folder(spark))
+    before = set(folder.names())
+    rows = P.run(spark, "/root/testdata/sf0.001").collect()
+    left = [n for n in folder.names() if n not in before and "pipeline" in n]
+    assert rows and len(left) == 1  # what the last stage reads
