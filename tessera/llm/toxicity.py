@@ -152,19 +152,23 @@ def _tried(parts: list[bytes], ordinary: bytes):
         lead, tail = ordinary[-40:-16], ordinary[-16:]
         longest = max(map(len, parts))
         bare = _coder(_noise(longest) + ordinary)
-        coders: dict[int, Z.ZstdCompressor] = {}
-        total = np.zeros((len(parts), 2), np.int64)
+        texts_, sizes, counts = [], [], []
+        meets: dict[int, list[int]] = {}
         for batch in batches:
-            for word, *counts in zip(*(batch.column(c).to_pylist() for c in ("word", "toxic", "ordinary")), strict=True):
+            for word, toxic, other in zip(*(batch.column(c).to_pylist() for c in ("word", "toxic", "ordinary")), strict=True):
                 meet = set().union(*(index.get(word[i : i + SHARED], ()) for i in range(len(word) - SHARED + 1)))
+                for k in meet:
+                    meets.setdefault(k, []).append(len(texts_))
                 if meet:
-                    text = lead + word + tail
-                    size = len(bare.compress(text))
-                    for k in meet:
-                        if k not in coders:
-                            coders[k] = _coder(_noise(longest - len(parts[k])) + parts[k] + ordinary)
-                        if size - len(coders[k].compress(text)) >= SAVED:
-                            total[k] += counts
+                    texts_.append(lead + word + tail)
+                    sizes.append(len(bare.compress(texts_[-1])))
+                    counts.append((toxic, other))
+        total = np.zeros((len(parts), 2), np.int64)
+        for k, rows in meets.items():  # one segment's tables (a quarter of a MB) at a time
+            compress = _coder(_noise(longest - len(parts[k])) + parts[k] + ordinary).compress
+            for i in rows:
+                if sizes[i] - len(compress(texts_[i])) >= SAVED:
+                    total[k] += counts[i]
         some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some, 0]), pa.array(total[some, 1])], ["segment", "toxic", "ordinary"])
 
