@@ -97,37 +97,56 @@ def double_text(value: float) -> str:
     return fixed if len(fixed) <= len(scientific) else scientific
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def double_format(c: Column) -> Column:
     """``double_text`` of a column, from the digits that Spark's own cast gives.
 
     These may be one more than needed, so that one less is tried.
     """
-    body = F.regexp_replace(F.abs(c).cast("string"), "-", "~")  # the sign of the exponent, so that it can be told from digits
-    mantissa, power = F.split_part(body, F.lit("E"), F.lit(1)), F.split_part(body, F.lit("E"), F.lit(2))
-    shift = F.when(power == "", 0).otherwise(F.regexp_replace(power, "~", "-").try_cast("int"))
-    whole = F.split_part(mantissa, F.lit("."), F.lit(1))
-    every = F.concat(whole, F.split_part(mantissa, F.lit("."), F.lit(2)))
-    bare = F.regexp_replace(every, "^0+", "")
-    first = F.length(whole) + shift - (F.length(every) - F.length(bare)) - 1  # the first digit's power of ten
-    fewer = ((bare.try_cast("bigint") + 5) / 10).cast("bigint").cast("string")
-    rounded = F.concat(fewer, F.lit("E"), (first - F.length(bare) + 2).cast("string"))
-    shorter = (F.length(bare) > 1) & (rounded.try_cast("double") == F.abs(c))
-    first = F.when(shorter, first + F.length(fewer) - F.length(bare) + 1).otherwise(first)
-    digits = F.regexp_replace(F.when(shorter, fewer).otherwise(bare), "0+$", "")
-    n = F.length(digits)
-    size = F.abs(first).cast("string")
-    scientific = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.when(first < 0, "e-").otherwise("e+"), F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
-    # whole numbers are written exactly; above 2**62 they are multiples of 512
-    exact = F.when(F.abs(c) < 2.0**62, F.abs(c).try_cast("bigint").cast("string")).otherwise(((F.abs(c) / 512).try_cast("bigint").cast("decimal(20,0)") * F.lit(512).cast("decimal(4,0)")).cast("string"))
-    fixed = (
-        F.when(first < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -first - 1), digits))
-        .when((first >= n - 1) & (first < 21), exact)
-        .when(first >= n - 1, F.concat(digits, F.repeat(F.lit("0"), first - n + 1)))
-        .otherwise(F.concat(F.substr(digits, F.lit(1), first + 1), F.lit("."), F.substr(digits, first + 2)))
-    )
+    size = F.abs(c)
+
+    def split(s: Column) -> Column:
+        mantissa, power = F.split_part(s, F.lit("E"), F.lit(1)), F.split_part(s, F.lit("E"), F.lit(2))
+        whole = F.split_part(mantissa, F.lit("."), F.lit(1))
+        return F.struct(F.concat(whole, F.split_part(mantissa, F.lit("."), F.lit(2))).alias("every"), (F.length(whole) + F.coalesce(power.try_cast("int"), F.lit(0))).alias("point"))
+
+    def trimmed(x: Column) -> Column:
+        bare = F.regexp_replace(x["every"], "^0+", "")
+        return F.struct(bare.alias("bare"), (x["point"] - F.length(x["every"]) + F.length(bare) - 1).alias("first"))
+
+    def tried(x: Column) -> Column:
+        fewer = ((x["bare"].try_cast("bigint") + 5) / 10).cast("bigint").cast("string")
+        return F.struct(x["bare"].alias("bare"), x["first"].alias("first"), fewer.alias("fewer"), F.concat(fewer, F.lit("E"), (x["first"] - F.length(x["bare"]) + 2).cast("string")).try_cast("double").alias("again"))
+
+    def digits(x: Column) -> Column:
+        shorter = (F.length(x["bare"]) > 1) & (x["again"] == size)
+        first = F.when(shorter, x["first"] + F.length(x["fewer"]) - F.length(x["bare"]) + 1).otherwise(x["first"])  # the first digit's power of ten
+        return F.struct(F.regexp_replace(F.when(shorter, x["fewer"]).otherwise(x["bare"]), "0+$", "").alias("digits"), first.alias("first"))
+
+    def forms(x: Column) -> Column:
+        d, first, n = x["digits"], x["first"], F.length(x["digits"])
+        power = F.abs(first).cast("string")
+        scientific = F.concat(F.substring(d, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(d, F.lit(2)))).otherwise(""), F.when(first < 0, "e-").otherwise("e+"), F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power))
+        # whole numbers are written exactly; above 2**62 they are multiples of 512
+        exact = F.when(size < 2.0**62, size.try_cast("bigint").cast("string")).otherwise(((size / 512).try_cast("bigint").cast("decimal(20,0)") * F.lit(512).cast("decimal(4,0)")).cast("string"))
+        fixed = (
+            F.when(first < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -first - 1), d))
+            .when((first >= n - 1) & (first < 21), exact)
+            .when(first >= n - 1, F.concat(d, F.repeat(F.lit("0"), first - n + 1)))
+            .otherwise(F.concat(F.substr(d, F.lit(1), first + 1), F.lit("."), F.substr(d, first + 2)))
+        )
+        return F.struct(scientific.alias("scientific"), fixed.alias("fixed"))
+
+    text = _let(F.abs(c).cast("string"), split)
+    for step in (trimmed, tried, digits, forms):
+        text = _let(text, step)
+    shortest = _let(text, lambda x: F.when(F.length(x["fixed"]) <= F.length(x["scientific"]), x["fixed"]).otherwise(x["scientific"]))
     sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
-    number = F.when(c == 0, "0").when(F.length(fixed) <= F.length(scientific), fixed).otherwise(scientific)
-    return F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf"))).when(c.isNotNull(), F.concat(sign, number))
+    return F.when(F.isnan(c), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(c == 0, F.concat(sign, F.lit("0"))).when(c.isNotNull(), F.concat(sign, shortest))
 
 
 def _boolean(text: str) -> bool:
