@@ -19,7 +19,9 @@ the first by document id and place. Lines without tokens stay.
 Counts are aggregations by leaf, line or template, with map-side combination. Only lines of leaves
 that recur take part, and of these only lines of leaves with several distinct lines send their
 tokens; both are found by a bit filter of a fixed size, which may let more lines pass and changes
-no result. No join has the leaf alone for a key: what a vote decided goes to its lines by
+no result. Leaves (or parts of them) of up to ``LOCAL_TOKENS`` tokens are voted on to the end in one
+task each; larger ones take a round of votes as aggregations and joins, until what is left of them
+is that small. No join has the leaf alone for a key: what a vote decided goes to its lines by
 broadcast while it has ``BROADCAST_ROWS`` rows or fewer, and else by a join salted by line.
 
 Defined results: a null text is empty and has no lines; a null id counts as the largest; rows
@@ -38,14 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import NO_ID, Tagged, buffers, checkpoint, fresh, key_filter, passes, slices, tagged
+from .common import NO_ID, Tagged, buffers, checkpoint, fresh, key_filter, partitions, passes, slices, tagged
 
 DEPTH = 4
 SIMILARITY = 0.7
 MIN_DOCS = 10
 SLICE_BYTES = 4 << 20
 #: Rows (at most 32 bytes each) that a join broadcasts, and what a larger join spreads a key over.
-BROADCAST_ROWS, SALTS = 1 << 20, 32
+BROADCAST_ROWS, SALTS = 1 << 16, 32
+#: Tokens of a part's distinct lines (8 bytes each) that one task takes at a time.
+LOCAL_TOKENS = 1 << 20
 _LINE_END = np.arange(256) == 10
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
@@ -79,16 +83,23 @@ def _keys(n: np.ndarray, token: np.ndarray, at: np.ndarray, depth: int) -> tuple
     return leaf, W.mix((total[at + n] - total[at]) ^ leaf)
 
 
-def _parse(depth: int, wanted: np.ndarray | None = None):
-    """(id, tag, number, leaf, line) of the lines, with ``wanted`` of those whose leaves the filter lets pass."""
+def _wanted(table: np.ndarray):
+    """The lines whose leaves the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(table, batch.column("leaf").to_numpy())))
+
+    return run
+
+
+def _parse(depth: int):
+    """(id, tag, number, leaf, line) of the lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             of, number, n, token, at = _lines(*buffers(batch.column("text")))
             leaf, line = _keys(n, token, at, depth)
-            if wanted is not None:
-                some = passes(wanted, leaf.view(np.int64))
-                of, number, leaf, line = of[some], number[some], leaf[some], line[some]
             pick = pa.array(of)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pick), batch.column("tag").take(pick), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64))], ["id", "tag", "number", "leaf", "line"])
 
@@ -122,11 +133,75 @@ def _told(lines: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFr
     return lines.withColumn(salt, F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")).join(many, [*on, salt], how).drop(salt)
 
 
+def voted(tokens: np.ndarray, docs: np.ndarray, part: int, similarity: float, min_docs: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, lines) of each general template of a part: a row of tokens and a number of documents a line."""
+    agenda = [(W.U(part), np.arange(len(docs)))]
+    while agenda:
+        name, lines = agenda.pop()
+        if len(lines) < 2 or docs[lines].sum() < min_docs:
+            continue
+        mine, weight = tokens[lines], docs[lines]
+        top, most = np.empty(mine.shape[1], np.int64), np.empty(mine.shape[1], np.int64)
+        for place in range(mine.shape[1]):
+            kinds, which = np.unique(mine[:, place], return_inverse=True)
+            votes = np.bincount(which, weight).astype(np.int64)
+            best = len(votes) - 1 - int(np.argmax(votes[::-1]))  # of equals the greatest token
+            top[place], most[place] = kinds[best], votes[best]
+        constant = 2 * most > weight.sum()
+        same = (mine[:, constant] == top[constant]).sum(1)
+        general = (same > 0) & (same >= similarity * mine.shape[1])
+        if general.any():
+            yield int(name.view(np.int64)), lines[general]
+            agenda.append((W.mix(np.array([name ^ W.U(0xB0B)]))[0], lines[~general]))
+            continue
+        open_ = np.flatnonzero(most < weight.sum())
+        if len(open_):
+            place = int(open_[np.argmax(most[open_])])
+            for token in np.unique(mine[:, place]):
+                child = W.mix(np.array([name ^ W.mix(token[None].view(W.U) + W.U(place))[0]]))[0]
+                agenda.append((child, lines[mine[:, place] == token]))
+
+
+def _local(similarity: float, min_docs: int):
+    """Rows sorted by part: all votes of each part."""
+
+    def results(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        part, docs = int(table["part"][0].as_py()), table["docs"].to_numpy()
+        tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(len(docs), -1)
+        for name, lines in voted(tokens, docs, int(np.array([part]).view(W.U)[0]), similarity, min_docs):
+            pick = pa.array(lines)
+            yield pa.RecordBatch.from_arrays([table["leaf"].combine_chunks().take(pick), table["line"].combine_chunks().take(pick), pa.array(np.full(len(lines), name))], ["leaf", "line", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if part[a] != now and held:
+                    yield from results(held)
+                    held = []
+                now = part[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from results(held)
+
+    return run
+
+
 def _general(told: DataFrame, similarity: float, min_docs: int) -> DataFrame:
     """(leaf, line, part) of the lines that belong to a general template; ``part`` names it."""
     rest = told.withColumn("part", F.col("leaf"))
     found = []
-    while not found or not rest.isEmpty():
+    while True:
+        size = rest.groupBy("part").agg(F.sum("docs").alias("left"), F.count("*").alias("n"), F.sum(F.size("tokens")).alias("size")).where((F.col("left") >= min_docs) & (F.col("n") > 1))
+        rest = checkpoint(_told(rest, size.select("part", (F.col("size") <= LOCAL_TOKENS).alias("small")), ["part"], "inner"))
+        small = rest.where("small").select("part", "leaf", "line", "docs", "tokens").repartition(partitions(rest.sparkSession), "part").sortWithinPartitions("part")
+        found.append(checkpoint(small.mapInArrow(_local(similarity, min_docs), "leaf bigint, line bigint, part bigint")))
+        rest = rest.where("not small").drop("small")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, found)
         places = rest.select("part", "line", "docs", F.posexplode("tokens").alias("place", "token"))
         votes = places.groupBy("part", "place", "token").agg(F.sum("docs").alias("docs"))
         top = checkpoint(votes.groupBy("part", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all")))
@@ -136,15 +211,11 @@ def _general(told: DataFrame, similarity: float, min_docs: int) -> DataFrame:
         judged = checkpoint(judged)
         found.append(judged.where("general").select("leaf", "line", "part"))
         # what a template left over is voted on again; a part without a template is split by the place whose first token has most votes
-        state = judged.groupBy("part").agg(F.max("general").alias("has"), F.sum(F.when(~F.col("general"), F.col("docs"))).alias("left"), F.count_if(~F.col("general")).alias("n"))
-        state = state.where((F.col("left") >= min_docs) & (F.col("n") > 1)).select("part", "has")
+        state = judged.groupBy("part").agg(F.max("general").alias("has"))
         split = top.where("top.docs < all").groupBy("part").agg(F.max(F.struct("top.docs", -F.col("place"))).alias("best")).select("part", (-F.col("best.col2")).alias("place"))
         state = state.join(split, "part", "left").where("has or place is not null")
         child = F.when(F.col("has"), F.xxhash64("part", F.lit(len(found)))).otherwise(F.xxhash64("part", "place", F.get("tokens", F.col("place"))))
         rest = checkpoint(_told(judged.where(~F.col("general")).drop("general"), state, ["part"], "inner").withColumn("part", child).drop("has", "place"))
-        large = rest.groupBy("part").agg(F.sum("docs").alias("left"), F.count("*").alias("n")).where((F.col("left") >= min_docs) & (F.col("n") > 1)).select("part")
-        rest = checkpoint(_told(rest, large, ["part"], "left_semi"))
-    return reduce(DataFrame.unionByName, found)
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> tuple[Tagged, DataFrame]:
@@ -152,8 +223,9 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     own = tagged(docs, id_col, text_col)
     rows = own.rows
     shape = "id bigint, tag bigint, number int, leaf bigint, line bigint"
-    in_docs = rows.mapInArrow(_parse(depth), shape).select("leaf", "id", "tag").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
-    lines = checkpoint(rows.mapInArrow(_parse(depth, key_filter(in_docs.where(F.col("docs") >= min_docs), "leaf")), shape))
+    parsed = checkpoint(rows.mapInArrow(_parse(depth), shape))
+    in_docs = parsed.select("leaf", "id", "tag").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
+    lines = checkpoint(parsed.mapInArrow(_wanted(key_filter(in_docs.where(F.col("docs") >= min_docs), "leaf")), shape))
 
     each = checkpoint(lines.select("leaf", "line", "id", "tag").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs")))
     several = each.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("docs")).where((F.col("n") > 1) & (F.col("docs") >= min_docs))

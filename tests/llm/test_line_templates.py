@@ -103,10 +103,12 @@ def test_patterns_that_collide_in_polynomials_stay_apart(spark):
     assert not any(r[3] for r in got)  # nine documents each
 
 
-def test_salted_joins_change_nothing(spark, monkeypatch):
-    rows = corpus(4)
+@pytest.mark.parametrize("tokens", [0, 300])
+def test_votes_of_large_parts_and_salted_joins_change_nothing(spark, monkeypatch, tokens):
+    rows = corpus(4)[:30]
     before = run(frame(spark, rows), min_docs=3)
     monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(L, "LOCAL_TOKENS", tokens)
     assert run(frame(spark, rows), min_docs=3) == before
 
 
