@@ -123,14 +123,14 @@ def _tokens(depth: int, wanted: np.ndarray):
     return run
 
 
-def _told(lines: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Joins lines with what was decided for their parts, however many lines a part has."""
+def _told(lines: DataFrame, small: DataFrame, on: list[str], how: str, by: str = "line") -> DataFrame:
+    """Joins lines with what was decided for their parts, however many lines a part has; ``by`` spreads them."""
     small = checkpoint(small)
     if small.count() <= BROADCAST_ROWS:
         return lines.join(F.broadcast(small), on, how)
     salt = fresh("salt")
     many = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return lines.withColumn(salt, F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")).join(many, [*on, salt], how).drop(salt)
+    return lines.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [*on, salt], how).drop(salt)
 
 
 def voted(tokens: np.ndarray, docs: np.ndarray, part: int, similarity: float, min_docs: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -238,7 +238,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     named = checkpoint(named)
     per_doc = named.groupBy("general", "template", "id", "tag").agg(F.min("number").alias("number"))
     found = per_doc.groupBy("general", "template").agg(F.count("*").alias("docs"), F.min(F.struct("id", "tag", "number")).alias("first")).where(F.col("docs") >= min_docs)
-    drop = named.join(found, ["general", "template"]).where(F.struct("id", "tag", "number") != F.col("first")).select("id", "tag", "number")
+    drop = _told(named, found, ["general", "template"], "inner", "id").where(F.struct("id", "tag", "number") != F.col("first")).select("id", "tag", "number")
     return own, drop.groupBy("id", "tag").agg(F.array_distinct(F.collect_list("number")).alias("numbers"))
 
 
