@@ -2,7 +2,8 @@
 
 Texts become sets of hashed shingles (``k`` words; a shorter text is one shingle). Equal sets are
 one class from the start. Shingles are ordered by how often they occur, rare ones first: a count
-sketch over all documents gives each shingle the logarithm of its bin's load. Sets with similarity
+sketch over the sets of all documents (equal sets of a slice of the input count once, as they do in
+the lists) gives each shingle the logarithm of its bin's load. Sets with similarity
 of ``percent`` or more then share shingles within their rarest few (the prefix).
 
 * Light sets (below the boundary) enumerate the subsets of two shingles of their prefix; equal
@@ -14,8 +15,10 @@ of ``percent`` or more then share shingles within their rarest few (the prefix).
   to ``MOST_LIGHT``, from where on the subsets of a set outgrow its text; any boundary gives the
   same links.
 
-Lists are cut into cells of a bounded number of sets by size, and only cells of compatible sizes
-are compared, so that no list ends in one task. Cells of the same sets are one. A pair of a cell
+A list that the sketch shows to be long is dealt in parts: its sets fall in m chunks, and each two
+chunks, and each chunk by itself, are a list of their own, so that no task sorts more than two
+chunks. Lists are cut into cells of a bounded number of sets by size, and only cells of compatible
+sizes are compared. Cells of the same sets are one. A pair of a cell
 is compared by size and by a parity sketch (one bit an element or more): the number of bits that
 differ never exceeds the symmetric difference, so nothing similar is lost. Each set carries the
 first few of its cells in a common order; a pair that two sets' lists show to meet in an earlier
@@ -53,6 +56,8 @@ SLICE_BYTES = 4 << 20
 SKETCH = 18
 #: List entries of an average bucket, and sets of a cell.
 BUCKET_ENTRIES, CELL = 500_000, 2048
+#: Entries of a chunk of a long list, as the sketch estimates them.
+CHUNK_ENTRIES = 500_000
 #: Greatest size from which sets may be heavy.
 MOST_LIGHT = 64
 #: Cells of each set by which a pair is told to have met before.
@@ -90,6 +95,18 @@ def _class_ids(text: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, np.where(size > 0, W.mix(total ^ W.mix(size.astype(W.U))) | W.U(1), W.U(0))
 
 
+def _first_of_class(h: np.ndarray, n: int) -> np.ndarray:
+    """Whether a text is the first of a slice with its set."""
+    _, first = np.unique(h, return_index=True)
+    out = np.zeros(n, bool)
+    out[first] = True
+    return out
+
+
+def _bin(gram: np.ndarray) -> np.ndarray:
+    return (gram >> W.U(64 - SKETCH)).astype(np.int64)
+
+
 def _survey(k: int):
     """One row (id, tag, n, class) a document, and the task's share of the count sketch in blocks."""
     schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
@@ -99,8 +116,8 @@ def _survey(k: int):
         for batch in slices(batches, "text", SLICE_BYTES):
             text, gram = sets(*buffers(batch.column("text")), k)
             size, h = _class_ids(text, gram, batch.num_rows)
-            bins += np.bincount((gram >> W.U(64 - SKETCH)).astype(np.int64), minlength=len(bins))
             n = batch.num_rows
+            bins += np.bincount(_bin(gram[_first_of_class(h, n)[text]]), minlength=len(bins))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(size), pa.array(h.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if bins.any():
             parts = [zstandard.compress(x.tobytes(), 1) for x in bins.reshape(64, -1)]
@@ -134,6 +151,11 @@ def _ranks(load: np.ndarray) -> np.ndarray:
     return np.clip(4 * np.log2(np.maximum(load / mean, 1.0)), 0, 63).astype(np.uint64)
 
 
+def _chunks(load: np.ndarray) -> np.ndarray:
+    """Into how many chunks the sets of a bin's shingles fall: by what the bin holds beyond one and a half times the usual."""
+    return 1 + (np.maximum(load - 1.5 * np.median(load), 0) // CHUNK_ENTRIES).astype(np.int64)
+
+
 def _prefix(n, percent: int):
     """Shingles of a set of n of which at least one must be in any similar set's prefix too."""
     return n + (-percent * n) // 100 + 1
@@ -152,8 +174,11 @@ def boundary(histogram: dict[int, int], load: np.ndarray, percent: int, most: in
     return min(range(2, most + 1), key=lambda x: (cost(x), x))
 
 
-def _entries(text: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int, heavy_from: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, place) of list entries and subsets; tokens are sorted by text, rare first. Place -1: a subset."""
+def _entries(text: np.ndarray, token: np.ndarray, chunks: np.ndarray, size: np.ndarray, percent: int, heavy_from: int) -> tuple[np.ndarray, ...]:
+    """(key, text, place, chunks) of list entries and subsets; tokens are sorted by text, rare first. Place -1: a subset.
+
+    The list of a subset is no longer than that of its rarer shingle.
+    """
     start = np.cumsum(size) - size
     # below this size a similar set must be an equal set
     alone = (100 * (size + 1) > 100 * size * 100 // percent) & (size * 100 < percent * (size + 1))
@@ -161,47 +186,70 @@ def _entries(text: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int
     n = _prefix(size[listed], percent)
     at = W.ragged(start[listed], n)
     owner = np.repeat(listed, n)
-    keys, texts_, places = [token[at]], [owner], [at - start[owner]]
+    keys, texts_, places, parts = [token[at]], [owner], [at - start[owner]], [chunks[at]]
     for s in np.unique(size[(size < heavy_from) & ~alone & (size > 1)]):
         mine = np.flatnonzero(size == s)
         p = min(int(_prefix(s, percent)) + 1, int(s))
         i, j = np.triu_indices(p, 1)
-        rows = token[start[mine][:, None] + np.arange(p)]
+        at = start[mine][:, None] + np.arange(p)
+        rows, of = token[at], chunks[at]
         keys.append(W.mix(rows[:, i] ^ W.mix(rows[:, j] + W.U(5))).ravel())
         texts_.append(np.repeat(mine, len(i)))
         places.append(np.full(len(mine) * len(i), -1))
-    return np.concatenate(keys), np.concatenate(texts_), np.concatenate(places)
+        parts.append(np.minimum(of[:, i], of[:, j]).ravel())
+    return tuple(map(np.concatenate, (keys, texts_, places, parts)))
+
 
+def _tokens(text: np.ndarray, gram: np.ndarray, rank: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles numbered so that rare ones are small, sorted within each text, and the chunks of their lists."""
+    of = _bin(gram)
+    token = (rank[of] << W.U(58)) | (gram & _LOW)
+    order = np.lexsort((token, text))
+    return token[order], chunks[of[order]]
 
-def _tokens(text: np.ndarray, gram: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Shingles numbered so that rare ones are small, sorted within each text."""
-    token = (rank[(gram >> W.U(64 - SKETCH)).astype(np.int64)] << W.U(58)) | (gram & _LOW)
-    return token[np.lexsort((token, text))]
 
+def _dealt(key: np.ndarray, h: np.ndarray, chunks: np.ndarray, n_buckets: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(entry, bucket, key, side) of every list that an entry goes to.
 
-def _lists(k: int, percent: int, rank: np.ndarray, heavy_from: int, n_buckets: int):
+    An entry of a short list goes there, side 2. One of a long list goes to the list of its chunk
+    (side 2) and to those that its chunk forms with each other one (side 0 for the lower chunk, 1
+    for the higher); each has a bucket of its own. Keys keep their class, so that rare ones stay first.
+    """
+    short = np.flatnonzero(chunks == 1)
+    yield short, (W.mix(key[short]) % W.U(n_buckets)).astype(np.int64), key[short], np.full(len(short), 2, np.int8)
+    long = np.flatnonzero(chunks > 1)
+    own = (W.mix(h[long] + W.U(3)) % chunks[long].astype(W.U)).astype(np.int64)
+    for other in range(int(chunks.max(initial=1)) if len(long) else 0):
+        here = np.flatnonzero(chunks[long] > other)
+        at, mine = long[here], own[here]
+        pair = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).astype(W.U)
+        named = (key[at] & ~_LOW) | (W.mix(key[at] ^ W.mix(pair + W.U(7))) & _LOW)
+        side = np.where(mine == other, 2, mine > other).astype(np.int8)
+        yield at, n_buckets + (W.mix(named) >> W.U(34)).astype(np.int64), named, side
+
+
+def _lists(k: int, percent: int, rank: np.ndarray, chunks: np.ndarray, heavy_from: int, n_buckets: int):
     """Map side: the entries of each slice, one set of each class, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             text, gram = sets(*buffers(batch.column("text")), k)
             size, h = _class_ids(text, gram, batch.num_rows)
-            _, first = np.unique(h, return_index=True)
-            chosen = np.zeros(batch.num_rows, bool)
-            chosen[first] = True
+            chosen = _first_of_class(h, batch.num_rows)
             keep = chosen[text]
-            key, of, place = _entries(text, _tokens(text[keep], gram[keep], rank), np.where(chosen, size, 0), percent, heavy_from)
-            if not len(key):
-                continue
-            bucket = (W.mix(key) % W.U(n_buckets)).astype(np.int64)
-            order = np.lexsort((key, bucket))
-            bucket, key, of, place = bucket[order], key[order], of[order], place[order]
-            edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0, [True])))
-            blobs = []
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                parts = (np.array([b - a]), key[a:b], h[of[a:b]], size[of[a:b]].astype(np.int32), place[a:b].astype(np.int32))
-                blobs.append(zstandard.compress(b"".join(x.tobytes() for x in parts), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            key, of, place, parts = _entries(text, *_tokens(text[keep], gram[keep], rank, chunks), np.where(chosen, size, 0), percent, heavy_from)
+            for at, bucket, named, side in _dealt(key, h[of], parts, n_buckets):
+                if not len(at):
+                    continue
+                order = np.lexsort((named, bucket))
+                at, bucket, named, side = at[order], bucket[order], named[order], side[order]
+                edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0, [True])))
+                blobs = []
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    mine = at[a:b]
+                    fields = (np.array([b - a]), named[a:b], h[of[mine]], size[of[mine]].astype(np.int32), place[mine].astype(np.int32), side[a:b])
+                    blobs.append(zstandard.compress(b"".join(x.tobytes() for x in fields), 1))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
@@ -209,7 +257,7 @@ def _lists(k: int, percent: int, rank: np.ndarray, heavy_from: int, n_buckets: i
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, W.U, n, 8), np.frombuffer(raw, W.U, n, 8 + 8 * n), np.frombuffer(raw, np.int32, n, 8 + 16 * n), np.frombuffer(raw, np.int32, n, 8 + 20 * n)
+    return np.frombuffer(raw, W.U, n, 8), np.frombuffer(raw, W.U, n, 8 + 8 * n), np.frombuffer(raw, np.int32, n, 8 + 16 * n), np.frombuffer(raw, np.int32, n, 8 + 20 * n), np.frombuffer(raw, np.int8, n, 8 + 24 * n)
 
 
 def _cells(percent: int):
@@ -225,53 +273,55 @@ def _cells(percent: int):
         return near[1:] | near[:-1]
 
     def cells(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, h, n, place = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+        key, h, n, place, side = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
         order = np.lexsort((h, n, key))
-        key, h, n, place = key[order], h[order], n[order].astype(np.int64), place[order]
+        key, h, n, place, side = key[order], h[order], n[order].astype(np.int64), place[order], side[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
         alive = np.flatnonzero(first)
         alive = alive[compatible(key[alive], n[alive])]
-        key, h, n, place = key[alive], h[alive], n[alive], place[alive]
+        key, h, n, place, side = key[alive], h[alive], n[alive], place[alive], side[alive]
         if not len(key):
             return
         # where a pair first meets, no shingle before the place is shared: (100 - percent)(|A| + |B|) >= (100 + percent)(i + j)
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lowest = np.repeat(np.minimum.reduceat(place, edge), np.diff(np.append(edge, len(key))))
         alive = (100 - percent) * (n + 100 * n // percent + 1) >= (100 + percent) * (place + lowest)
-        key, h, n, place = key[alive], h[alive], n[alive], place[alive]
+        key, h, n, place, side = key[alive], h[alive], n[alive], place[alive], side[alive]
         alive = compatible(key, n)
-        key, h, n, place = key[alive], h[alive], n[alive], place[alive]
+        key, h, n, place, side = key[alive], h[alive], n[alive], place[alive], side[alive]
         if not len(key):
             return
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         size = np.diff(edge)
         # subsets of two aren't in the shingles' order; as the least key they take part in no comparison of keys
         key = np.where(place < 0, W.U(0), key) ^ W.U(1 << 63)
-        part = W.mix(h)
+        part = W.mix(h + np.where(side == 2, 0, side + 1).astype(W.U))
         whole = np.flatnonzero(size <= CELL)
         name = W.mix(np.add.reduceat(part, edge[:-1])[whole])
         # keys are in order, so that of keys with the same sets the least stays
         _, own = np.unique(name, return_index=True)
         rows = W.ragged(edge[:-1][whole[own]], size[whole[own]])
-        out = [(rows, np.repeat(name[own], size[whole[own]]), np.full(len(rows), 2, np.int8))]
+        out = [(rows, np.repeat(name[own], size[whole[own]]), side[rows])]
         for g in np.flatnonzero(size > CELL):
             a, b = edge[g], edge[g + 1]
             # every chunk with itself, and with later chunks whose smallest set is small enough
             for r in range(a, b, CELL):
                 x = np.arange(r, min(r + CELL, b))
                 mine = part[x].sum()
-                out.append((x, np.repeat(W.mix(mine[None]), len(x)), np.full(len(x), 2, np.int8)))
+                out.append((x, np.repeat(W.mix(mine[None]), len(x)), side[x]))
                 for c in range(r + CELL, b, CELL):
                     if percent * n[c] > 100 * n[x[-1]]:
                         break
                     y = np.arange(c, min(c + CELL, b))
-                    both = W.mix(W.mix(mine[None]) ^ W.mix(part[y].sum()[None] + W.U(9)))
-                    out += [(x, np.repeat(both, len(x)), np.zeros(len(x), np.int8)), (y, np.repeat(both, len(y)), np.ones(len(y), np.int8))]
-        rows, cell, side = (np.concatenate(x) for x in zip(*out, strict=True))
+                    # in a list of two chunks only sets of different chunks
+                    for u, v in [(x, y)] if side[a] == 2 else [(x[side[x] == s], y[side[y] != s]) for s in (0, 1)]:
+                        both = W.mix(W.mix(part[u].sum()[None]) ^ W.mix(part[v].sum()[None] + W.U(9)))
+                        out += [(u, np.repeat(both, len(u)), np.zeros(len(u), np.int8)), (v, np.repeat(both, len(v)), np.ones(len(v), np.int8))]
+        rows, cell, sides = (np.concatenate(x) for x in zip(*out, strict=True))
         for x in range(0, len(rows), 100_000):
             at = rows[x : x + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(cell[x : x + 100_000].view(np.int64)), pa.array(side[x : x + 100_000]), pa.array(h[at].view(np.int64)), pa.array(n[at].astype(np.int32)), pa.array(key[at].view(np.int64))], ["cell", "side", "h", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[x : x + 100_000].view(np.int64)), pa.array(sides[x : x + 100_000]), pa.array(h[at].view(np.int64)), pa.array(n[at].astype(np.int32)), pa.array(key[at].view(np.int64))], ["cell", "side", "h", "n", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -461,7 +511,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     entries = each.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0))).first()[0]
     n_buckets = max(partitions(spark), int(entries // BUCKET_ENTRIES) + 1)
     rank = _ranks(load)
-    blobs = rows.mapInArrow(_lists(k, percent, rank, heavy_from, n_buckets), "bucket int, blob binary")
+    blobs = rows.mapInArrow(_lists(k, percent, rank, _chunks(load), heavy_from, n_buckets), "bucket int, blob binary")
     dealt = blobs.repartition(max(partitions(spark), n_buckets // 4), "bucket").sortWithinPartitions("bucket")
     cells = dealt.mapInArrow(_cells(percent), "cell bigint, side tinyint, h bigint, n int, key bigint")
     cells = checkpoint(cells.groupBy("cell", "side", "h").agg(F.min("n").alias("n"), F.min("key").alias("key")))

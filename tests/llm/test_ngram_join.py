@@ -71,6 +71,37 @@ def test_small_cells_and_full_filters(spark, monkeypatch):
     assert run(frame(spark, rows)) == expected(rows)
 
 
+@pytest.mark.parametrize(("chunk", "cell"), [(3, 2048), (3, 7), (20, 4)])
+def test_long_lists_are_dealt_in_chunks(spark, monkeypatch, chunk, cell):
+    """Near copies and a shared passage, whose lists fall in chunks and whose lists of two chunks fall in cells."""
+    monkeypatch.setattr(J, "CHUNK_ENTRIES", chunk)
+    monkeypatch.setattr(J, "CELL", cell)
+    most, chunks = [], J._chunks
+    monkeypatch.setattr(J, "_chunks", lambda load: most.append(chunks(load).max()) or chunks(load))
+    rows = corpus(13)
+    assert run(frame(spark, rows).repartition(4)) == expected(rows)
+    assert most[0] > 2
+
+
+def test_two_sets_of_a_list_meet_in_one_list():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    h = rng.integers(1, 1 << 63, 40, dtype=np.uint64)
+    key = np.where(np.arange(40) < 30, np.uint64(77), np.uint64(78))
+    chunks = np.where(key == 77, 5, 1)
+    met, buckets = {}, {}
+    for at, bucket, named, side in J._dealt(key, h, chunks, 10):
+        for i, b, k, s in zip(at.tolist(), bucket.tolist(), named.tolist(), side.tolist(), strict=True):
+            met.setdefault(k, []).append((i, s))
+            buckets.setdefault(k, set()).add(b)
+    pairs = [(i, j) for m in met.values() for i, s in m for j, t in m if i < j and (s != t or s == 2)]
+    assert sorted(pairs) == [(i, j) for i in range(40) for j in range(i + 1, 40) if key[i] == key[j]]
+    assert len(met) == 16 and all(len(b) == 1 for b in buckets.values())
+    assert max(max(b) for k, b in buckets.items() if k == 78) < 10 <= min(min(b) for k, b in buckets.items() if k != 78)
+    assert all(k >> 58 == 0 for k in met)
+
+
 @pytest.mark.parametrize("heavy_from", [2, 10, 40, 1000])
 def test_any_boundary_gives_the_same(spark, monkeypatch, heavy_from):
     monkeypatch.setattr(J, "boundary", lambda *a: heavy_from)
